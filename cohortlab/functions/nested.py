@@ -100,5 +100,5 @@ def non_empty_document(json: Column) -> Column:
 def tag_list(as_string: Column | None, as_array: Column | None = None) -> Column:
     """Trimmed entries of a comma string, or the array when there is one."""
     none = F.array().cast("array<string>")
-    split = F.filter(F.transform(F.split(as_string, ","), F.trim), lambda x: x != "") if as_string is not None else None
+    split = F.filter(F.transform(F.split(as_string, ","), lambda x: F.trim(x)), lambda x: x != "") if as_string is not None else None
     return F.coalesce(*[c for c in (as_array, split, none) if c is not None])

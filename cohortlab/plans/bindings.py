@@ -175,7 +175,7 @@ def format_flags() -> dict[str, Column]:
 TOPIC_SQL = """
 topical AS (
   SELECT cohort.*, p_type AS niche, p_brand AS sub_niche, string_split(p_name, ' ')[1] AS primary_keyword,
-    string_split(p_name, ' ')[2] || ', ' || lower(p_type) AS secondary_keywords
+    string_split(p_name, ' ')[2] || ', ' || p_brand || ' ' || p_type AS secondary_keywords
   FROM cohort JOIN part ON key_part = p_partkey
 )"""
 
@@ -184,7 +184,7 @@ def with_topic(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("key_part"), F.col("p_type").alias("niche"), F.col("p_brand").alias("sub_niche"),
         F.split("p_name", " ")[0].alias("primary_keyword"),
-        F.concat(F.split("p_name", " ")[1], F.lit(", "), F.lower("p_type")).alias("secondary_keywords"),
+        F.concat(F.split("p_name", " ")[1], F.lit(", "), F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("secondary_keywords"),
     )
     return df.join(p, "key_part")
 

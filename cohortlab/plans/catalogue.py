@@ -1,6 +1,6 @@
 """All registered queries (importing a module registers its queries)."""
 
-from cohortlab.plans import queries_cohort  # noqa: F401
+from cohortlab.plans import queries_cohort, queries_text  # noqa: F401
 from cohortlab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
