@@ -71,18 +71,10 @@ def _any_of(parts: list[str]) -> str:
     return "|".join(re.escape(p) for p in parts)
 
 
-def link_class(url: Column, strict_domains: bool = False) -> Column:
-    """One class per link: social, affiliate, playlist, video or website.
-
-    Domains are matched anywhere in the host by default; ``strict_domains``
-    asks for the host itself or a sub-domain of it.
-    """
-    low = F.lower(url)
-    host = F.regexp_extract(low, r"https?://(?:www\.)?([^/]+)", 1)
-    wrap = (lambda alt: rf"(?:^|\.)(?:{alt})(?::\d+)?$") if strict_domains else (lambda alt: alt)
-
+def _class_of(low: Column, host: Column, strict_domains: bool) -> Column:
     def on(domains: list[str]) -> Column:
-        return host.rlike(wrap(_any_of(domains)))
+        names = _any_of(domains)
+        return host.rlike(rf"(?:^|\.)(?:{names})(?::\d+)?$" if strict_domains else names)
 
     return (
         F.when(on(SOCIAL_DOMAINS), "social")
@@ -92,9 +84,27 @@ def link_class(url: Column, strict_domains: bool = False) -> Column:
     )
 
 
+def _host(low: Column) -> Column:
+    return F.regexp_extract(low, r"https?://(?:www\.)?([^/]+)", 1)
+
+
+def link_class(url: Column, strict_domains: bool = False) -> Column:
+    """One class per link: social, affiliate, playlist, video or website.
+
+    Domains are matched anywhere in the host by default; ``strict_domains``
+    asks for the host itself or a sub-domain of it.
+    """
+    low = F.lower(url)
+    return _class_of(low, _host(low), strict_domains)
+
+
 def links_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({URL_PATTERN})"), F.lit(1))
 
 
 def link_classes_in(text: Column, strict_domains: bool = False) -> Column:
-    return F.transform(links_in(text), lambda u: link_class(u, strict_domains))
+    """Class of every link of a text; the host is taken once per link."""
+    parts = F.transform(
+        F.transform(links_in(text), lambda u: F.lower(u)), lambda u: F.struct(u.alias("low"), _host(u).alias("host"))
+    )
+    return F.transform(parts, lambda p: _class_of(p["low"], p["host"], strict_domains))

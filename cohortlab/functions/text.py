@@ -65,6 +65,16 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(body, **values: Column) -> Column:
+    """Evaluate ``values`` once per row and build ``body`` from them.
+
+    A one-element ``transform`` binds them, which stands in for common
+    sub-expression elimination inside large nested projections.
+    """
+    bound = F.array(F.struct(*[col.alias(name) for name, col in values.items()]))
+    return F.get(F.transform(bound, body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -115,22 +125,26 @@ def detect_languages(text: Column) -> Column:
 
 
 def title_language(title: Column) -> Column:
-    telugu, latin = _count(title, f"[{TELUGU}]"), _count(title, f"[{LATIN}]")
-    both = telugu + latin
-    telugu_ratio = F.when(both > 0, telugu / both).otherwise(F.lit(0.0))
-    latin_ratio = F.when(both > 0, latin / both).otherwise(F.lit(0.0))
-    languages = detect_languages(title)
-    primary = F.when(telugu_ratio > 0.5, F.lit("telugu")).otherwise(F.lit("english"))
-    others = F.filter(languages, lambda x: x != primary)
-    return F.struct(
-        languages.alias("languages"),
-        primary.alias("primaryLanguage"),
-        F.when(F.size(languages) > 1, F.get(others, F.lit(0))).otherwise(F.lit("none")).alias("secondaryLanguage"),
-        detect_scripts(title).alias("scripts"),
-        has_script(title, TELUGU).alias("hasTeluguScript"),
-        has_script(title, LATIN).alias("hasLatinScript"),
-        F.round(telugu_ratio, 2).alias("teluguRatio"),
-        F.round(latin_ratio, 2).alias("englishRatio"),
+    def build(c: Column) -> Column:
+        both = c["telugu"] + c["latin"]
+        telugu_ratio = F.when(both > 0, c["telugu"] / both).otherwise(F.lit(0.0))
+        latin_ratio = F.when(both > 0, c["latin"] / both).otherwise(F.lit(0.0))
+        primary = F.when(telugu_ratio > 0.5, F.lit("telugu")).otherwise(F.lit("english"))
+        other = F.get(F.array_except(c["languages"], F.array(primary)), F.lit(0))
+        return F.struct(
+            c["languages"].alias("languages"),
+            primary.alias("primaryLanguage"),
+            F.when(F.size(c["languages"]) > 1, other).otherwise(F.lit("none")).alias("secondaryLanguage"),
+            c["scripts"].alias("scripts"),
+            (c["telugu"] > 0).alias("hasTeluguScript"),
+            (c["latin"] > 0).alias("hasLatinScript"),
+            F.round(telugu_ratio, 2).alias("teluguRatio"),
+            F.round(latin_ratio, 2).alias("englishRatio"),
+        )
+
+    return let(
+        build, telugu=_count(title, f"[{TELUGU}]"), latin=_count(title, f"[{LATIN}]"), languages=detect_languages(title),
+        scripts=detect_scripts(title),
     )
 
 
@@ -152,106 +166,141 @@ def emoji_list(text: Column) -> Column:
 
 
 def emoji_positions(text: Column) -> Column:
-    """Thirds of the text in which a run of emoji starts."""
-    chars = F.split(text, "")
-    n = F.length(text)
-
-    def zone(ch: Column, i: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(chars, F.when(i > 0, i)), F.lit(""))
-        starts = ch.rlike(f"[{EMOJI}]") & ~previous.rlike(f"[{EMOJI}]")
-        return F.when(starts, F.when(i < n / 3, "start").when(i > n / 3 * 2, "end").otherwise("middle"))
-
-    zones = F.transform(chars, zone)
-    present = F.array_join(
-        F.array_compact(F.array(*[F.when(F.array_contains(zones, z), F.lit(z)) for z in ("start", "middle", "end")])),
-        ", ",
+    """Thirds of the text in which a run of emoji starts.
+
+    The text is cut at the runs and offsets are summed up, so the cost is
+    linear; lambdas must not touch the text itself (it would be re-evaluated
+    for every element).
+    """
+    pieces = F.arrays_zip(
+        F.split(text, f"[{EMOJI}]+").alias("gap"), _all(text, f"[{EMOJI}]+").alias("run"),
+        F.array_repeat(F.length(text), F.size(_all(text, f"[{EMOJI}]+"))).alias("n"),
     )
-    return F.when(text.rlike(f"[{EMOJI}]"), present).otherwise(F.lit(""))
-
-
-def capitalization(text: Column) -> list[Column]:
-    latin, upper = _count(text, "[A-Za-z]"), _count(text, "[A-Z]")
-    tokens = words(text)
-    caps = F.filter(tokens, lambda w: w.rlike(r"^[\x00-\x60\x7B-\x7F]{2,}$") & w.rlike("[A-Z]"))
-    titled = F.forall(tokens, lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
-    has_latin = latin > 0
-    all_caps = has_latin & (upper / F.greatest(latin, F.lit(1)) > 0.8)
-    partial = has_latin & ~all_caps & (F.size(caps) > 0)
-    style = (
-        F.when(~has_latin, "lowercase").when(all_caps, "all-caps").when(partial, "mixed").when(titled, "title-case")
-        .otherwise("lowercase")
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(False).alias("start"), F.lit(False).alias("middle"), F.lit(False).alias("end")
     )
-    return [
-        style.alias("capitalization"),
-        all_caps.alias("allCaps"),
-        partial.alias("partialCaps"),
-        F.when(has_latin, F.array_join(caps, ", ")).otherwise("").alias("capsWords"),
-    ]
+
+    def step(acc: Column, piece: Column) -> Column:
+        at, n = acc["at"] + F.length(piece["gap"]), piece["n"]
+        in_start, in_end = at < n / 3, at > n / 3 * 2
+        is_run = piece["run"].isNotNull()
+        return F.struct(
+            (at + F.coalesce(F.length(piece["run"]), F.lit(0))).alias("at"),
+            (acc["start"] | (is_run & in_start)).alias("start"),
+            (acc["middle"] | (is_run & ~in_start & ~in_end)).alias("middle"),
+            (acc["end"] | (is_run & in_end)).alias("end"),
+        )
+
+    def names(acc: Column) -> Column:
+        return F.array_join(F.array_compact(F.array(*[F.when(acc[z], F.lit(z)) for z in ("start", "middle", "end")])), ", ")
+
+    return F.when(text.rlike(f"[{EMOJI}]"), F.aggregate(pieces, start, step, names)).otherwise(F.lit(""))
+
+
+CAPS_WORD = r"^[\x00-\x60\x7B-\x7F]{2,}$"  # fixed value: ASCII without lower-case letters
+
+
+def capitalization(text: Column) -> Column:
+    def build(c: Column) -> Column:
+        has_latin = c["latin"] > 0
+        all_caps = has_latin & (c["upper"] / F.greatest(c["latin"], F.lit(1)) > 0.8)
+        partial = has_latin & ~all_caps & (F.size(c["caps"]) > 0)
+        titled = F.forall(c["words"], lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
+        style = (
+            F.when(~has_latin, "lowercase").when(all_caps, "all-caps").when(partial, "mixed").when(titled, "title-case")
+            .otherwise("lowercase")
+        )
+        return F.struct(
+            style.alias("capitalization"),
+            all_caps.alias("allCaps"),
+            partial.alias("partialCaps"),
+            F.when(has_latin, F.array_join(c["caps"], ", ")).otherwise("").alias("capsWords"),
+        )
+
+    caps = F.filter(words(text), lambda w: w.rlike(CAPS_WORD) & w.rlike("[A-Z]"))
+    return let(build, latin=_count(text, "[A-Za-z]"), upper=_count(text, "[A-Z]"), words=words(text), caps=caps)
 
 
-def brackets(text: Column) -> list[Column]:
-    kind, content, any_kind = F.lit("none"), F.lit("none"), F.lit(False)
-    for name, pattern in reversed(BRACKETS):
-        kind = F.when(text.rlike(pattern), F.lit(name)).otherwise(kind)
-        content = F.when(text.rlike(pattern), F.array_join(_all(text, pattern, 1), ", ")).otherwise(content)
-        any_kind = any_kind | text.rlike(pattern)
-    return [any_kind.alias("hasBrackets"), kind.alias("bracketType"), content.alias("bracketContent")]
+def brackets(text: Column) -> Column:
+    """The first bracket kind found (round, square, curly) and what it holds."""
+    def build(c: Column) -> Column:
+        kind, content, any_kind = F.lit("none"), F.lit("none"), F.lit(False)
+        for name, _ in reversed(BRACKETS):
+            found = F.size(c[name]) > 0
+            kind = F.when(found, F.lit(name)).otherwise(kind)
+            content = F.when(found, F.array_join(c[name], ", ")).otherwise(content)
+            any_kind = any_kind | found
+        return F.struct(any_kind.alias("hasBrackets"), kind.alias("bracketType"), content.alias("bracketContent"))
 
+    return let(build, **{name: _all(text, pattern, 1) for name, pattern in BRACKETS})
 
-def special_chars(text: Column) -> list[Column]:
+
+def special_chars(text: Column) -> Column:
     plain = F.regexp_replace(text, f"[{EMOJI}]+", "")
     odd = F.array_sort(
         F.array_distinct(_all(plain, f"[^{WORD}{SPACE}{TELUGU}{DEVANAGARI}{PLAIN_MARKS}]"))
     )
-    return [(F.size(odd) > 0).alias("hasSpecialChars"), F.array_join(odd, ", ").alias("specialChars")]
+    return let(
+        lambda c: F.struct((F.size(c["odd"]) > 0).alias("hasSpecialChars"), F.array_join(c["odd"], ", ").alias("specialChars")),
+        odd=odd,
+    )
+
 
+def punctuation(text: Column) -> Column:
+    def build(c: Column) -> Column:
+        kind = (
+            F.when(c["last"].isin("!", "！"), "exclamation")
+            .when(c["last"].isin("?", "？"), "question")
+            .when(c["last"].isin(".", "。"), "period")
+            .otherwise("none")
+        )
+        return F.struct(
+            (kind != "none").alias("endsWithPunctuation"),
+            kind.alias("punctuationType"),
+            c["exclaims"].alias("hasExclamation"),
+            c["asks"].alias("hasQuestion"),
+        )
 
-def punctuation(text: Column) -> list[Column]:
     last = F.right(F.regexp_replace(text, rf"[{SPACE}]+$", ""), F.lit(1))
-    kind = (
-        F.when(last.isin("!", "！"), "exclamation")
-        .when(last.isin("?", "？"), "question")
-        .when(last.isin(".", "。"), "period")
-        .otherwise("none")
-    )
-    return [
-        (kind != "none").alias("endsWithPunctuation"),
-        kind.alias("punctuationType"),
-        text.contains("!").alias("hasExclamation"),
-        text.rlike(QUESTION).alias("hasQuestion"),
-    ]
+    return let(build, last=last, exclaims=text.contains("!"), asks=text.rlike(QUESTION))
+
+
+FORMATTING_PARTS = {  # fixed values: field order of the formatting document
+    "caps": ["capitalization", "allCaps", "partialCaps", "capsWords"],
+    "brackets": ["hasBrackets", "bracketType", "bracketContent"],
+    "special": ["hasSpecialChars", "specialChars"],
+    "punctuation": ["endsWithPunctuation", "punctuationType", "hasExclamation", "hasQuestion"],
+}
 
 
 def title_formatting(title: Column) -> Column:
-    emojis, years, tags = emoji_list(title), _all(title, YEAR, 1), _all(title, HASHTAG)
-    return F.struct(
-        (F.size(emojis) > 0).alias("hasEmoji"),
-        F.array_join(emojis, ", ").alias("emojiList"),
-        emoji_positions(title).alias("emojiPositions"),
-        (F.size(years) > 0).alias("hasYear"),
-        F.coalesce(F.get(years, F.lit(0)), F.lit("none")).alias("year"),
-        (F.size(tags) > 0).alias("hasHashtag"),
-        F.array_join(tags, ", ").alias("hashtags"),
-        *capitalization(title),
-        *brackets(title),
-        *special_chars(title),
-        *punctuation(title),
+    def build(c: Column) -> Column:
+        return F.struct(
+            (F.size(c["emojis"]) > 0).alias("hasEmoji"),
+            F.array_join(c["emojis"], ", ").alias("emojiList"),
+            c["positions"].alias("emojiPositions"),
+            (F.size(c["years"]) > 0).alias("hasYear"),
+            F.coalesce(F.get(c["years"], F.lit(0)), F.lit("none")).alias("year"),
+            (F.size(c["tags"]) > 0).alias("hasHashtag"),
+            F.array_join(c["tags"], ", ").alias("hashtags"),
+            *[c[part][name].alias(name) for part, names in FORMATTING_PARTS.items() for name in names],
+        )
+
+    return let(
+        build, emojis=emoji_list(title), positions=emoji_positions(title), years=_all(title, YEAR, 1), tags=_all(title, HASHTAG),
+        caps=capitalization(title), brackets=brackets(title), special=special_chars(title), punctuation=punctuation(title),
     )
 
 
 def hashtag_position(description: Column) -> Column:
     """Third of the lines that holds hashtags, or 'throughout' / 'none'."""
     lines = F.split(strip(description), "\n")
-    n = F.size(lines)
+    tagged = F.array_compact(F.transform(lines, lambda line, i: F.when(line.rlike(HASHTAG), i)))
+    # the line count rides along as an array: a lambda would re-split the text per element
+    sizes = F.array_repeat(F.size(lines), F.size(tagged))
     zones = F.array_distinct(
-        F.array_compact(
-            F.transform(
-                lines,
-                lambda line, i: F.when(
-                    line.rlike(HASHTAG),
-                    F.when(i < n / 3, "start").when(i >= n / 3 * 2, "end").otherwise("middle"),
-                ),
-            )
+        F.zip_with(
+            tagged, sizes, lambda i, n: F.when(i < n / 3, "start").when(i >= n / 3 * 2, "end").otherwise("middle")
         )
     )
     found = F.when(F.size(zones) >= 2, F.lit("throughout")).otherwise(F.coalesce(F.get(zones, F.lit(0)), F.lit("none")))
@@ -259,30 +308,37 @@ def hashtag_position(description: Column) -> Column:
 
 
 def description_features(description: Column, strict_domains: bool = False) -> Column:
+    """Structure, timestamps, hashtags, calls to action, links and money marks.
+
+    A blank description gives zeros and false everywhere.
+    """
+    def build(c: Column) -> Column:
+        def has(kind: str) -> Column:
+            return F.array_contains(c["links"], kind)
+
+        return F.struct(
+            F.struct(c["length"].alias("length"), c["lines"].alias("lineCount")).alias("structure"),
+            F.struct((c["stamps"] > 0).alias("hasTimestamps"), c["stamps"].alias("timestampCount")).alias("timestamps"),
+            F.struct(c["tags"].alias("count"), c["position"].alias("position")).alias("hashtags"),
+            F.struct(*[c[name].alias(name) for name in CTA_PATTERNS]).alias("ctas"),
+            F.struct(
+                has("social").alias("hasSocialMediaLinks"),
+                has("affiliate").alias("hasAffiliateLinks"),
+                has("video").alias("hasOtherVideoLinks"),
+                has("playlist").alias("hasPlaylistLinks"),
+                has("website").alias("hasWebsiteLink"),
+                F.size(c["links"]).alias("totalLinkCount"),
+            ).alias("links"),
+            F.struct(*[c[name].alias(name) for name in MONEY_PATTERNS]).alias("monetization"),
+        )
+
     filled = description.rlike(rf"[^{SPACE}]")
     text = F.when(filled, description).otherwise(F.lit(""))
-    stamps, tags, links = _count(text, TIMESTAMP), _count(text, HASHTAG), link_classes_in(text, strict_domains)
-
-    def has(kind: str) -> Column:
-        return F.array_contains(links, kind)
-
-    return F.struct(
-        F.struct(
-            F.length(text).alias("length"),
-            F.when(filled, F.size(F.split(text, "\n"))).otherwise(F.lit(0)).alias("lineCount"),
-        ).alias("structure"),
-        F.struct((stamps > 0).alias("hasTimestamps"), stamps.alias("timestampCount")).alias("timestamps"),
-        F.struct(tags.alias("count"), hashtag_position(text).alias("position")).alias("hashtags"),
-        F.struct(*[text.rlike(p).alias(name) for name, p in CTA_PATTERNS.items()]).alias("ctas"),
-        F.struct(
-            has("social").alias("hasSocialMediaLinks"),
-            has("affiliate").alias("hasAffiliateLinks"),
-            has("video").alias("hasOtherVideoLinks"),
-            has("playlist").alias("hasPlaylistLinks"),
-            has("website").alias("hasWebsiteLink"),
-            F.size(links).alias("totalLinkCount"),
-        ).alias("links"),
-        F.struct(*[text.rlike(p).alias(name) for name, p in MONEY_PATTERNS.items()]).alias("monetization"),
+    return let(
+        build, length=F.length(text), lines=F.when(filled, _count(description, "\n") + 1).otherwise(F.lit(0)),
+        stamps=_count(text, TIMESTAMP), tags=_count(text, HASHTAG), position=hashtag_position(text),
+        links=link_classes_in(text, strict_domains),
+        **{name: text.rlike(p) for name, p in {**CTA_PATTERNS, **MONEY_PATTERNS}.items()},
     )
 
 

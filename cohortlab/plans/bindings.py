@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions import metrics as M
+from cohortlab.scale import spread
 
 AS_OF = "2024-07-01 00:00:00"
 
@@ -204,7 +205,7 @@ ITEM_ID_SQL = "lpad(CAST({} AS VARCHAR), 11, '0')"
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     at = F.instr("text", "\n")
     return d.select(
         "doc_id", "lang", "source",
@@ -222,7 +223,7 @@ def item_code(col: Column) -> Column:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,6 +42,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few small files over all cores, for costly projections.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = LOOKUP_ROWS
 ) -> DataFrame:
