@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlab.functions.binding import let
+
 # Platform category ids and names.
 CATEGORY_NAMES = {
     "1": "Film & Animation", "2": "Autos & Vehicles", "10": "Music", "15": "Pets & Animals", "17": "Sports",
@@ -25,10 +27,6 @@ SIGNIFICANT_DIFFERENCE = 0.05
 KEY_BYTES = 200
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
 def ratio_percent(part: Column, views: Column) -> Column:
     """``part / views * 100``; 0 without views."""
     return F.when(views > 0, part / views * 100).otherwise(F.lit(0.0))
@@ -74,13 +72,16 @@ def duration_seconds(iso: Column) -> Column:
     """Seconds of an ISO-8601 duration; missing parts and junk count 0."""
     has_p = F.coalesce(iso.startswith("P"), F.lit(False))
     body = F.when(has_p, F.substr(iso, F.lit(2))).otherwise(iso)
-    clock = F.when(F.instr(body, "T") > 0, F.regexp_replace(body, "^[^T]*T", "")).otherwise(body)
 
     def part(text: Column, unit: str) -> Column:
         return F.coalesce(F.regexp_extract(text, rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))
 
-    days = F.when(has_p, part(body, "D")).otherwise(F.lit(0))
-    return days * 86_400 + part(clock, "H") * 3_600 + part(clock, "M") * 60 + part(clock, "S")
+    def build(c: Column) -> Column:
+        days = F.when(c["has_p"], part(c["body"], "D")).otherwise(F.lit(0))
+        return days * 86_400 + part(c["clock"], "H") * 3_600 + part(c["clock"], "M") * 60 + part(c["clock"], "S")
+
+    # everything after the first T; the text itself when there is none
+    return let(build, has_p=has_p, body=body, clock=F.regexp_replace(body, "^[^T]*T", ""))
 
 
 def duration_label(seconds: Column) -> Column:
@@ -102,21 +103,26 @@ def is_short_simple(seconds: Column) -> Column:
 def classify_short(seconds: Column, title: Column, description: Column) -> Column:
     """Short-form test from length, hashtag and link, with its reason."""
     tag = r"(?i)#shorts?\b"
-    title, description = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
-    linked = description.contains("youtube.com/shorts/") | description.contains("youtu.be/shorts/")
 
     def verdict(is_short: bool, confidence: str, reason: str) -> Column:
         return F.struct(
             F.lit(is_short).alias("isShort"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")
         )
 
-    return (
-        F.when(seconds > 60, verdict(False, "high", "Duration exceeds 60 seconds"))
-        .when(title.rlike(tag), verdict(True, "high", "#Shorts hashtag found in title"))
-        .when(description.rlike(tag), verdict(True, "high", "#Shorts hashtag found in description"))
-        .when(linked, verdict(True, "high", "Shorts URL found in description"))
-        .when(seconds <= 15, verdict(True, "medium", "Very short duration (<=15s)"))
-        .otherwise(verdict(False, "low", "Duration <=60s but no #Shorts indicator found"))
+    def build(c: Column) -> Column:
+        text = c["description"]
+        linked = text.contains("youtube.com/shorts/") | text.contains("youtu.be/shorts/")
+        return (
+            F.when(c["seconds"] > 60, verdict(False, "high", "Duration exceeds 60 seconds"))
+            .when(c["title"].rlike(tag), verdict(True, "high", "#Shorts hashtag found in title"))
+            .when(text.rlike(tag), verdict(True, "high", "#Shorts hashtag found in description"))
+            .when(linked, verdict(True, "high", "Shorts URL found in description"))
+            .when(c["seconds"] <= 15, verdict(True, "medium", "Very short duration (<=15s)"))
+            .otherwise(verdict(False, "low", "Duration <=60s but no #Shorts indicator found"))
+        )
+
+    return let(
+        build, seconds=seconds, title=F.coalesce(title, F.lit("")), description=F.coalesce(description, F.lit(""))
     )
 
 

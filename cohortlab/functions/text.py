@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlab.functions.binding import let
 from cohortlab.functions.links import link_classes_in
 
 # Scripts (regex ranges), separators and marks.
@@ -65,16 +66,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def let(body, **values: Column) -> Column:
-    """Evaluate ``values`` once per row and build ``body`` from them.
-
-    A one-element ``transform`` binds them, which stands in for common
-    sub-expression elimination inside large nested projections.
-    """
-    bound = F.array(F.struct(*[col.alias(name) for name, col in values.items()]))
-    return F.get(F.transform(bound, body), F.lit(0))
-
-
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")

@@ -239,9 +239,9 @@ def owner_stats(items: DataFrame, owner: str = "owner_id") -> DataFrame:
     days = F.greatest(F.lit(1), F.datediff(F.max("published_at"), F.min("published_at")))
     return items.groupBy(owner).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.round(F.avg("views"), 2).alias("avg_views"),
-        F.round(F.avg("engagement"), 4).alias("avg_engagement"),
-        F.round(F.count(F.lit(1)) / days * 7, 2).alias("uploads_per_week"),
+        F.avg("views").alias("avg_views"),
+        F.avg("engagement").alias("avg_engagement"),
+        (F.count(F.lit(1)) / days * 7).alias("uploads_per_week"),
     )
 
 

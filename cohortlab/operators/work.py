@@ -194,7 +194,8 @@ def import_results(
         rows = rows.withColumn("_features", F.when(F.col("features_merged"), features))
         over = rows.schema["_features"].dataType
         base = F.from_json("document", doc_schema)
-        rows = rows.withColumn("analysis", deep_merge(base, doc_schema, F.col("_features"), over)).drop("_features")
+        merged_doc = deep_merge(base, doc_schema, F.col("_features"), over)
+        rows = rows.withColumn("analysis", F.when(F.col("status") == "imported", merged_doc)).drop("_features")
     return rows.drop("title", "description", "_text")
 
 
