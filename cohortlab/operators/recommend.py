@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.text import sanitize
@@ -145,54 +145,64 @@ def complete_tags(given: Column) -> Column:
     return tag_struct({**groups, "brand": F.coalesce(given.getField("brand"), none)})
 
 
-def posting(insights: Insights) -> Column:
+def with_insights(rows: DataFrame, insights: Insights) -> DataFrame:
+    """Add the small insight lists as columns (scalar subqueries, run once).
+
+    ``_best``: best slot, ``_days``: days by multiplier, ``_open`` and
+    ``_full``: lower-case topics with high opportunity and saturated ones.
+    """
+    best, days = F.lit(None).cast("struct<day:string,hour:int,multiplier:double>"), F.array().cast(TEXTS)
+    if insights.optimal is not None and insights.slots is not None:
+        best = insights.optimal.select(F.struct("day", "hour", "multiplier")).scalar()
+        days = insights.slots.filter("dim = 'day'").agg(  # at most 7 days
+            F.transform(
+                F.array_sort(F.collect_list(F.struct((-F.col("multiplier")).alias("x"), "slot"))), lambda s: s["slot"]
+            )
+        ).scalar()
+
+    def topics(table: DataFrame | None, n: int) -> Column:
+        if table is None:
+            return F.array().cast(TEXTS)
+        return table.limit(n).agg(F.collect_list(F.lower("topic"))).scalar()
+
+    return rows.withColumns(
+        {"_best": best, "_days": days, "_open": topics(insights.gaps, 20), "_full": topics(insights.saturated, 10)}
+    )
+
+
+def posting(n_items: int | None = None) -> Column:
     """Best slot and two other days, or the default slot."""
     default = F.struct(
         F.lit(P.DEFAULT_POSTING["best_day"]).alias("best_day"), F.lit(P.DEFAULT_POSTING["best_time"]).alias("best_time"),
         F.array(*[F.lit(x) for x in P.DEFAULT_POSTING["alternatives"]]).alias("alternatives"),
         F.lit(P.DEFAULT_POSTING["reasoning"]).alias("reasoning"),
     )
-    if insights.optimal is None or insights.slots is None:
-        return default
-    best = insights.optimal.select(F.struct("day", "hour", "multiplier")).scalar()
-    ordered = insights.slots.filter("dim = 'day'").agg(  # at most 7 days
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("multiplier")).alias("x"), "slot"))), lambda s: s["slot"]
-        )
-    ).scalar()
-    time = F.concat(best["hour"].cast("string"), F.lit(":00 IST"))
-    others = F.transform(
-        F.slice(F.filter(ordered, lambda d: d != best["day"]), 1, 2), lambda d: F.concat(d, F.lit(" "), time)
-    )
+    day, multiplier = F.col("_best.day"), F.col("_best.multiplier")
+    time = F.concat(F.col("_best.hour").cast("string"), F.lit(":00 IST"))
+    others = F.slice(F.array_except(F.col("_days"), F.array(day)), 1, 2)
     why = F.concat(
-        F.lit(f"Based on analysis of {insights.n_items} videos, "), best["day"], F.lit(" at "), time, F.lit(" has "),
-        F.format_string("%.1f", F.round(best["multiplier"], 1)), F.lit("x average performance"),
+        F.lit(f"Based on analysis of {n_items} videos, "), day, F.lit(" at "), time, F.lit(" has "),
+        F.format_string("%.1f", F.round(multiplier, 1)), F.lit("x average performance"),
     )
     known = F.struct(
-        best["day"].alias("best_day"), time.alias("best_time"), others.alias("alternatives"), why.alias("reasoning")
+        day.alias("best_day"), time.alias("best_time"),
+        F.transform(others, lambda d: F.concat(d, F.lit(" "), time)).alias("alternatives"), why.alias("reasoning"),
     )
-    return F.when(best["day"].isNotNull() & best["hour"].isNotNull(), known).otherwise(default)
-
+    return F.when(day.isNotNull() & F.col("_best.hour").isNotNull(), known).otherwise(default)
 
-def _topics(table: DataFrame | None, n: int) -> Column:
-    """Lower-case topics of a small result table as an array."""
-    if table is None:
-        return F.array().cast(TEXTS)
-    return table.limit(n).agg(F.collect_list(F.lower("topic"))).scalar()
 
-
-def topic_flags(topic: Column, insights: Insights) -> tuple[Column, Column]:
+def topic_flags(topic: Column) -> tuple[Column, Column]:
     """(saturated, high opportunity): the topic contains a listed one."""
     low = F.lower(topic)
 
-    def hit(listed: Column) -> Column:
+    def hit(listed: str) -> Column:
         return F.exists(listed, lambda t: F.contains(low, t))
 
-    return hit(_topics(insights.saturated, 10)), hit(_topics(insights.gaps, 20))
+    return hit("_full"), hit("_open")
 
 
-def prediction(topic: Column, kind: Column, insights: Insights) -> Column:
-    saturated, open_topic = topic_flags(topic, insights)
+def prediction(topic: Column, kind: Column, version: str | None = None) -> Column:
+    saturated, open_topic = topic_flags(topic)
     good = F.array_compact(
         F.array(
             F.when(open_topic, F.lit("Topic has high opportunity score (low competition, good views)")),
@@ -206,7 +216,7 @@ def prediction(topic: Column, kind: Column, insights: Insights) -> Column:
         F.struct(F.col("views_low").alias("low"), F.col("views_medium").alias("medium"), F.col("views_high").alias("high")).alias(
             "expected_views"
         ),
-        F.lit("medium" if insights.version else "low").alias("confidence"),
+        F.lit("medium" if version else "low").alias("confidence"),
         good.alias("positive_factors"),
         risk.alias("risk_factors"),
     )
@@ -216,7 +226,7 @@ def recommend(
     requests: DataFrame, insights: Insights, production: DataFrame | None = None, model: str = "template"
 ) -> DataFrame:
     """One wide recommendation row per valid request."""
-    rows = with_dimension(requests)
+    rows = with_insights(with_dimension(requests), insights)
     topic, kind = F.col("topic"), F.col("type")
     image = F.struct(image_text(topic).alias("text"), *[F.col(f) for f in P.IMAGE_FIELDS])
     out = rows.select(
@@ -224,8 +234,8 @@ def recommend(
         titles(topic, F.col("angle"), F.col("templates")).alias("titles"),
         image.alias("image"),
         tag_struct(tag_groups(topic, kind)).alias("tags"),
-        posting(insights).alias("posting"),
-        prediction(topic, kind, insights).alias("prediction"),
+        posting(insights.n_items).alias("posting"),
+        prediction(topic, kind, insights.version).alias("prediction"),
         F.struct(
             F.lit(model).alias("model"), F.lit(insights.version).alias("insights_version"),
             F.lit(model == "template").alias("fallback_used"),
@@ -301,8 +311,6 @@ def idea_rows(requests: DataFrame, insights: Insights) -> DataFrame:
 
 def digest(insights: Insights) -> DataFrame:
     """The ranked entries a recommendation shows, as labelled rows."""
-    from pyspark.sql import Window
-
     def part(df: DataFrame, section: str, n: int, order: list[Column], label: Column, by: str | None = None) -> DataFrame:
         w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(section))
         ranked = df.withColumn("_label", label).withColumn("_rank", F.row_number().over(w.orderBy(*order)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators.cohort import drop_shorts
 from cohortlab.operators.ops import top_per_key
 from cohortlab.operators.work import new_ids_until_known_page
+from cohortlab.scale import stage
 from cohortlab.sources.landed import item_rows
 from cohortlab.sources.sinks import newest_per_key, update_columns, upsert
 
@@ -27,7 +28,8 @@ class LoadResult:
 
 def _details(wanted: DataFrame, raw: DataFrame, owners: DataFrame, as_of: Column, include_shorts: bool):
     rows = item_rows(raw.join(wanted.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi"), owners, as_of)
-    rows = newest_per_key(rows, KEYS, ["published_at"])
+    # staged: new table state, missing ids and image work all read these rows
+    rows = stage(newest_per_key(rows, KEYS, ["published_at"]), "loaded")
     missing = wanted.join(rows.select("item_id"), "item_id", "left_anti")
     return drop_shorts(rows, include_shorts=include_shorts), missing
 

@@ -346,7 +346,7 @@ def engagement_metrics(spark, sf):
 
 @query(
     "days_since_publish",
-    f"SELECT event_id, CAST(greatest(1, abs(epoch_ms(TIMESTAMP '2024-01-10 12:00:00') - epoch_ms(ts)) // 86400000) AS BIGINT) AS days FROM events",
+    f"SELECT event_id, CAST(greatest(1, abs(epoch_us(TIMESTAMP '2024-01-10 12:00:00') // 1000 - epoch_us(ts) // 1000) // 86400000) AS BIGINT) AS days FROM events",
 )
 def days_since_publish(spark, sf):
     """M2: whole elapsed days, at least one."""
