@@ -96,14 +96,19 @@ def group_quantiles(
     if one_group:
         src, keys = src.withColumn("_all", F.lit(1)), ["_all"]
 
-    margin = 4.0 / accuracy
+    # sketch error is 1/accuracy of the group; a bracket is also at least three ranks wide
+    margins = [m for m in (1.0, 0.1, 0.01, 0.001) if m > 4.0 / accuracy] + [4.0 / accuracy]
     brackets = []
     for i, (_, p) in enumerate(wanted.values()):
-        ends = [max(0.0, p - margin), min(1.0, p + margin)]
+        ends = [max(0.0, p - m) for m in margins] + [min(1.0, p + m) for m in margins]
+        sketch, n = F.percentile_approx(f"_v{i}", ends, accuracy), F.count(f"_v{i}")
+        level = F.lit(0)
+        for at, m in enumerate(margins):
+            level = F.when(n * m >= 3, F.lit(at)).otherwise(level)
         brackets.append(
             F.struct(
-                F.lit(i).alias("i"), F.percentile_approx(f"_v{i}", ends, accuracy).alias("b"),
-                F.count(f"_v{i}").alias("n"), F.lit(p).alias("p"),
+                F.lit(i).alias("i"), F.get(sketch, level).alias("lo"), F.get(sketch, level + len(margins)).alias("hi"),
+                n.alias("n"), F.lit(p).alias("p"),
             )
         )
     bracket = src.groupBy(*keys).agg(F.array(*brackets).alias("_b"), F.count(F.lit(1)).alias("_rows"))
@@ -116,8 +121,8 @@ def group_quantiles(
             "_b",
             lambda b: F.struct(
                 b["i"].alias("i"), b["n"].alias("n"), b["p"].alias("p"),
-                (F.get(values, b["i"]) <= b["b"][1]).alias("near"),
-                F.when(F.get(values, b["i"]) >= b["b"][0], F.get(values, b["i"])).alias("v"),
+                (F.get(values, b["i"]) <= b["hi"]).alias("near"),
+                F.when(F.get(values, b["i"]) >= b["lo"], F.get(values, b["i"])).alias("v"),
             ),
         ),
         lambda c: c["near"],
