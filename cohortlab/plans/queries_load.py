@@ -10,7 +10,7 @@ from cohortlab.operators import cohort as C
 from cohortlab.plans import bindings as D
 from cohortlab.plans import load as J
 from cohortlab.plans.registry import query
-from cohortlab.scale import stage_path
+from cohortlab.scale import spread, stage_path
 from cohortlab.sources import landed as R
 from cohortlab.sources import sinks as K
 from cohortlab.sources import tables as B
@@ -95,7 +95,7 @@ IS_SHORT_SQL = f"({SHORT_SQL}) NOT IN ('Duration exceeds 60 seconds', 'Duration
 
 def item_texts(spark, sf):
     """Orders with the texts and durations raw item records are made of."""
-    return D.table(spark, sf, "orders").withColumns(
+    return spread(D.table(spark, sf, "orders")).withColumns(
         {
             "k": F.col("o_orderkey"), "duration": F.expr(DURATION.format(k="o_orderkey", s="STRING")),
             "title": F.expr("o_orderstatus || CASE WHEN o_orderkey % 14 = 2 THEN ' #Shorts' ELSE ' plain' END"),

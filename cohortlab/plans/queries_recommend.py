@@ -157,7 +157,8 @@ def tag_string(spark, sf):
 
 def request_insights(spark, sf, full=False):
     """Small insight tables: topics by part type, slots of events."""
-    df = stage(topic_cohort(spark, sf), "topical")
+    cohort = order_cohort(spark, sf)
+    df = stage(D.with_topic(cohort, spark, sf), "topical")
     by_type = df.withColumn("topic", G.topic_of(F.lower("niche"), F.lit("")))
     stats = settle(G.topic_stats(by_type.withColumn("vps", F.when(F.col("topic") == "small", F.col("vps") * 0.3).otherwise(F.col("vps"))), "topic", "vps"))
     slots = settle(B.timing_insights(event_timing(spark, sf)))
@@ -166,7 +167,7 @@ def request_insights(spark, sf, full=False):
     )
     if full:
         out.keywords = settle(G.keyword_gaps(G.keyword_stats(df, "vps", "primary_keyword", "secondary_keywords")))
-        out.formats = settle(G.format_stats(order_cohort(spark, sf), "vps", D.format_flags()))
+        out.formats = settle(G.format_stats(cohort, "vps", D.format_flags()))
     return out
 
 

@@ -136,22 +136,27 @@ def group_quantiles(
     upto = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first())
     pos = (F.col("n") - 1) * F.col("p")
     ranked = counted.withColumn("_cum", F.sum("_k").over(upto))
-    found = ranked.groupBy(*keys, "i", "n", "p").agg(
-        F.max("_rows").alias("_rows"),
-        F.min(F.when(F.col("_cum") > F.floor(pos), F.col("v"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("v"))).alias("_hi"),
-        F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("_cum"))), F.lit(0)).alias("_below"),
-        F.max("_cum").alias("_seen"),
-    )
-    missed = (F.col("_below") > F.floor(pos)) | (F.col("_seen") <= F.ceil(pos))
-    value = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
-    )
-    out = found.withColumn("_q", value).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)],
-        F.max("_rows").alias(count or "_rows"),
-    )
-    return out.select(*([] if one_group else keys), *names, *([count] if count else []))
+    aggs: list[Column] = [F.max("_rows").alias("_rows")]
+    for i in range(len(names)):
+        mine = F.col("i") == i
+        aggs += [
+            F.min(F.when(mine & (F.col("_cum") > F.floor(pos)), F.col("v"))).alias(f"_lo{i}"),
+            F.min(F.when(mine & (F.col("_cum") > F.ceil(pos)), F.col("v"))).alias(f"_hi{i}"),
+            F.max(F.when(mine, pos - F.floor(pos))).alias(f"_part{i}"),
+            # the rank must lie inside the bracket: not among the rows below, not beyond the last one
+            F.bool_or(mine & F.col("v").isNull() & (F.col("_cum") > F.floor(pos))).alias(f"_early{i}"),
+            F.max(F.when(mine, F.col("_cum") - F.ceil(pos))).alias(f"_reach{i}"),
+        ]
+    found = ranked.groupBy(*keys).agg(*aggs)
+
+    def value(i: int) -> Column:
+        lo, hi, part = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_part{i}")
+        missed = F.col(f"_early{i}") | (F.col(f"_reach{i}") <= 0)
+        failure = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        return F.when(missed, failure).otherwise(lo + (hi - lo) * part)
+
+    out = found.select(*keys, "_rows", *[value(i).alias(name) for i, name in enumerate(names)])
+    return out.select(*([] if one_group else keys), *names, *([F.col("_rows").alias(count)] if count else []))
 
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str = "threshold") -> DataFrame:
