@@ -88,11 +88,18 @@ def request_rows(items: DataFrame, kind: str, model: str = "model") -> DataFrame
 
 
 def capped_requests(requests: DataFrame, limit: int = BATCH_REQUESTS, order: Sequence[str] = ("owner_id", "item_id")) -> DataFrame:
-    """The first ``limit`` requests in a total order."""
+    """The first ``limit`` requests in a total order.
+
+    Only keys are ranked; request bodies stay where they are until the kept
+    keys select them.
+    """
     ready = requests.filter(F.col("reject").isNull())
+    keys = ready.select(*order)
     if limit <= BATCH_REQUESTS:
-        return ready.orderBy(*order).limit(limit)  # top-k, merged from per-task heads
-    return row_numbers(ready, list(order), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
+        first = keys.orderBy(*order).limit(limit)  # top-k, merged from per-task heads
+    else:
+        first = row_numbers(keys, list(order), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
+    return lookup_join(ready, first, list(order), "left_semi", max_rows=BATCH_REQUESTS)
 
 
 def prepare_stats(work: DataFrame, limit: int = BATCH_REQUESTS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cohortlab.operators import bridge as B
@@ -12,7 +14,7 @@ from cohortlab.operators.rate_limit import rate_limit
 from cohortlab.plans import bindings as D
 from cohortlab.plans.insights import run_insights, write_insights
 from cohortlab.plans.queries_cohort import (
-    BOOL_SQL, C_SQL, FORMAT_ROWS_SQL, KEYWORD_SQL, SLOT_SQL, T_SQL, event_timing, order_cohort, topic_cohort,
+    BOOL_SQL, BOOLS, BY_BRAND, C_SQL, FORMAT_ROWS_SQL, KEYWORD_SQL, SLOT_SQL, T_SQL, bool_sql, event_timing, order_cohort, topic_cohort,
 )
 from cohortlab.plans.registry import query
 from cohortlab.scale import settle, stage, stage_path
@@ -307,20 +309,42 @@ def insights_read(spark, sf):
     return saved.groupBy("insight_type").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("version", version.cast("timestamp_ntz"))
 
 
-@query("insights_job")
+JOB_SQL = f"""{T_SQL}, {bool_sql("topical", BOOLS).replace("bools", "b1").replace("bool_rows", "br1")}, {bool_sql("topical", BOOLS, "", "is_top_eng").replace("bools", "b2").replace("bool_rows", "br2")},
+{BY_BRAND}, {KEYWORD_SQL.replace("tot AS (", "ktot AS (").replace(", tot", ", ktot")}, {FORMAT_ROWS_SQL.replace("FROM cohort", "FROM topical")},
+slots AS (
+  SELECT content_type || '|day|' || dayname(published_at) AS key, round(avg(vps), 2) AS value FROM topical WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 5
+  UNION ALL SELECT content_type || '|hour|0', round(avg(vps), 2) FROM topical WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 5
+)
+SELECT 'summary' AS insight, content_type AS key, CAST(count(*) FILTER (WHERE is_top) AS DOUBLE) AS value FROM topical GROUP BY ALL
+UNION ALL SELECT 'image_profile', content_type || '|' || path, top_rate FROM br1
+UNION ALL SELECT 'engagement_image_profile', content_type || '|' || path, top_rate FROM br2
+UNION ALL SELECT 'timing', key, value FROM slots
+UNION ALL SELECT * FROM (SELECT 'gaps', topic, opportunity_score FROM topic_rows ORDER BY opportunity_score DESC, topic LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'keywords', keyword, multiplier FROM keyword_rows ORDER BY multiplier DESC, keyword LIMIT 30)
+UNION ALL SELECT 'formats', format, multiplier FROM format_rows"""
+
+
+@query("insights_job", JOB_SQL)
 def insights_job(spark, sf):
-    """The whole insights job (G15, G32, J1 to R9 inputs): rows per result table."""
+    """G15, G32, 3.1: the whole insights job; one number of each main table per key."""
     cohort = topic_cohort(spark, sf).withColumns({"day": F.date_format("published_at", "EEEE"), "hour": F.hour("published_at")})
-    cohort = stage(cohort, "topical")
     tables = run_insights(
-        cohort, description="title_analysis.descriptionAnalysis", formats=D.format_flags(), topic=G.topic_of(F.col("niche"), F.col("sub_niche")),
-        primary="primary_keyword", secondary="secondary_keywords",
+        stage(cohort, "topical"), description="title_analysis.descriptionAnalysis", formats=D.format_flags(),
+        topic=G.topic_of(F.col("niche"), F.col("sub_niche")), primary="primary_keyword", secondary="secondary_keywords",
     )
-    out = None
-    for name, df in tables.items():
-        rows = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("insight"), "n_rows")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    def rows(name, value, *key, where="true"):
+        return tables[name].filter(where).select(
+            F.lit(name).alias("insight"), F.concat_ws("|", *key).alias("key"), F.col(value).cast("double").alias("value")
+        )
+
+    parts = [
+        rows("summary", "n_top", "content_type"), rows("image_profile", "top_rate", "content_type", "path", where="kind = 'bool'"),
+        rows("engagement_image_profile", "top_rate", "content_type", "path", where="kind = 'bool'"),
+        rows("timing", "avg_vps", "content_type", "dim", "slot"), rows("gaps", "opportunity_score", "topic"),
+        rows("keywords", "multiplier", "keyword"), rows("formats", "multiplier", "format"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # --- generations ------------------------------------------------------------------------

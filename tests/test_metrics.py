@@ -95,3 +95,14 @@ def test_local_times(spark):
     assert values(spark, [t], "t timestamp", M.local_hour(F.col("t"))) == [0]
     assert values(spark, [t], "t timestamp", M.weekday_name(F.col("t"))) == ["Monday"]
     assert values(spark, [dt.datetime(2024, 7, 1, 6, 59)], "t timestamp", M.local_date(F.col("t"))) == ["2024-06-30"]
+
+
+def test_sql_functions(spark):
+    from cohortlab.functions.sql import register
+
+    assert len(register(spark)) == 7
+    row = spark.sql(
+        "SELECT days_since_publish(timestamp'2024-01-01', timestamp'2024-01-04 01:00:00') d, recency_weight(timestamp'2023-01-01', timestamp'2024-01-01', 365) w, "
+        "confidence_label(10) c, is_significant(0.3, 0.5) s, hour_label(19) h, views_per_subscriber(10, null) v, doc_name('A b/c') n"
+    ).first()
+    assert (row.d, round(row.w, 6), row.c, row.s, row.h, row.v, row.n) == (3, 0.5, "medium", True, "Evening", 0.0, "a_b_c")
