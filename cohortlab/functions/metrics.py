@@ -27,6 +27,15 @@ SIGNIFICANT_DIFFERENCE = 0.05
 KEY_BYTES = 200
 
 
+def steady_round(value: Column, digits: int) -> Column:
+    """Round a mean of doubles.
+
+    The last bits of a sum depend on the order of its parts; they are dropped
+    first, so that a tie rounds the same way whatever the partitioning.
+    """
+    return F.round(F.round(value, digits + 6), digits)
+
+
 def ratio_percent(part: Column, views: Column) -> Column:
     """``part / views * 100``; 0 without views."""
     return F.when(views > 0, part / views * 100).otherwise(F.lit(0.0))

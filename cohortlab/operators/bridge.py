@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.metrics import hour_label, is_significant
+from cohortlab.functions.metrics import hour_label, is_significant, steady_round
 
 # Section of a feature path -> reported category, and limits.
 SECTION_CATEGORY = {
@@ -44,7 +44,7 @@ def bool_lifts(profile: DataFrame, sizes: DataFrame, group: str = "content_type"
         .filter(F.col("_lift").isNotNull() & (F.col("_n") >= 10))
         .groupBy("path")
         .agg(
-            F.round(F.sum(F.col("_lift") * F.col("_n")) / F.sum("_n"), 2).alias("lift"),
+            steady_round(F.sum(F.col("_lift") * F.col("_n")) / F.sum("_n"), 2).alias("lift"),
             F.sum("_n").alias("sample_size"),
             F.bool_or(is_significant(F.col("all_rate"), F.col("top_rate"))).alias("_significant"),
         )
@@ -93,7 +93,7 @@ def title_patterns(shares: DataFrame, sizes: DataFrame, group: str = "content_ty
     lift = F.when(all_rate > NEAR_ZERO, top_rate / all_rate).otherwise(F.lit(0.0))
     return (
         per_value.filter((F.col("_n") > 0) & (lift > 0))
-        .select("pattern", F.round(lift, 2).alias("lift"), F.floor(F.round("_all", 6)).cast("long").alias("sample_size"))
+        .select("pattern", steady_round(lift, 2).alias("lift"), F.floor(F.round("_all", 6)).cast("long").alias("sample_size"))
         .orderBy(F.desc("lift"), "pattern")
         .limit(n)
     )
@@ -113,7 +113,7 @@ def power_words(items: DataFrame, sizes: DataFrame, group: str = "content_type",
     all_rate = F.coalesce(F.try_divide("_all", "_n"), F.lit(0.0))
     top_rate = F.coalesce(F.try_divide("_top", "_n_top"), F.lit(0.0))
     raw = F.when(all_rate > NEAR_ZERO, top_rate / all_rate).otherwise(F.lit(0.0))
-    rows = per_word.filter(raw > 1.0).select("word", F.round(raw, 2).alias("multiplier"))
+    rows = per_word.filter(raw > 1.0).select("word", steady_round(raw, 2).alias("multiplier"))
     band = (
         F.when(F.col("multiplier") >= HIGH_IMPACT, "high").when(F.col("multiplier") > 1.0, "medium")
     )
@@ -141,8 +141,8 @@ def optimal_length(
         rows = rows.unionByName(part)
     top = F.col("top_avg")
     return rows.filter((F.col("all_avg") > 0) | (top > 0)).select(
-        "measure", F.round(top * 0.7, 0).alias("min"), F.round(top * 1.3, 0).alias("max"),
-        F.round(top, 0).alias("sweet_spot"),
+        "measure", steady_round(top * 0.7, 0).alias("min"), steady_round(top * 1.3, 0).alias("max"),
+        steady_round(top, 0).alias("sweet_spot"),
     )
 
 
@@ -150,9 +150,9 @@ def language_mix(numeric: DataFrame, sizes: DataFrame, path: str, group: str = "
     """Ratio range of plus/minus 0.15 around the top average, within [0, 1]."""
     top = F.col("top_avg")
     return _averages(numeric, sizes, path, group).filter((F.col("all_avg") > 0) | (top > 0)).select(
-        F.round(F.greatest(F.lit(0.0), top - 0.15), 2).alias("min"),
-        F.round(F.least(F.lit(1.0), top + 0.15), 2).alias("max"),
-        F.round(top, 2).alias("sweet_spot"),
+        steady_round(F.greatest(F.lit(0.0), top - 0.15), 2).alias("min"),
+        steady_round(F.least(F.lit(1.0), top + 0.15), 2).alias("max"),
+        steady_round(top, 2).alias("sweet_spot"),
     )
 
 
@@ -165,9 +165,9 @@ def timing_insights(timing: DataFrame) -> DataFrame:
         (F.sum(F.col("avg_vps") * F.col("n_items")) / F.sum("n_items")).alias("_avg")
     )
     base = F.avg("_avg").over(Window.partitionBy("dim"))
-    multiplier = F.round(F.when(base > 0, F.col("_avg") / base).otherwise(F.lit(1.0)), 2)
+    multiplier = steady_round(F.when(base > 0, F.col("_avg") / base).otherwise(F.lit(1.0)), 2)
     return slots.select(
-        "dim", "slot", F.round("_avg", 2).alias("avg_views"), multiplier.alias("multiplier"),
+        "dim", "slot", steady_round(F.col("_avg"), 2).alias("avg_views"), multiplier.alias("multiplier"),
         F.when(F.col("dim") == "hour", hour_label(F.col("slot").cast("int"))).alias("label"),
     )
 
@@ -186,7 +186,7 @@ def optimal_slot(insights: DataFrame) -> DataFrame:
         F.min_by(F.col("label"), hour_key).alias("description"),
         F.min_by(F.col("multiplier"), hour_key).alias("_hour_x"),
     )
-    joint = F.round(F.coalesce(F.col("_day_x") * F.col("_hour_x"), F.col("_day_x"), F.col("_hour_x")), 2)
+    joint = steady_round(F.coalesce(F.col("_day_x") * F.col("_hour_x"), F.col("_day_x"), F.col("_hour_x")), 2)
     return best.select("day", "hour", "description", joint.alias("multiplier"))
 
 

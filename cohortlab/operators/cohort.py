@@ -76,7 +76,7 @@ def winsorize_stats(
         F.count_if(keep).alias("filtered_count"),
         F.count_if(~keep).alias("removed_low_subscribers"),
         F.count_if(keep & (F.col(metric) > limit)).alias("winsorized_count"),
-    ).withColumns({"vps_cap": F.round(limit, 2), "min_subscribers": F.lit(min_subscribers).cast("long")})
+    ).withColumns({"vps_cap": M.steady_round(limit, 2), "min_subscribers": F.lit(min_subscribers).cast("long")})
 
 
 def mark_top(

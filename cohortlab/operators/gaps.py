@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.metrics import steady_round
 from cohortlab.functions.nested import tag_list
 
 # Thresholds, list lengths and the analysed formats.
@@ -44,11 +45,11 @@ def topic_stats(df: DataFrame, topic: str, metric: str) -> DataFrame:
     )
     return grouped.withColumns({"_total": total, "_mean": mean}).select(
         "topic",
-        F.round("_avg", 2).alias("avg_vps"),
+        steady_round(F.col("_avg"), 2).alias("avg_vps"),
         "n_items",
         F.round(F.col("n_items") / F.col("_total") * 100, 2).alias("content_share"),
-        F.round(F.col("_avg") / (F.col("n_items") + 1), 3).alias("opportunity_score"),
-        ((F.col("n_items") > F.col("_total") * SATURATED_SHARE) & (F.round("_avg", 2) < F.col("_mean") * SATURATED_LEVEL)).alias(
+        steady_round(F.col("_avg") / (F.col("n_items") + 1), 3).alias("opportunity_score"),
+        ((F.col("n_items") > F.col("_total") * SATURATED_SHARE) & (steady_round(F.col("_avg"), 2) < F.col("_mean") * SATURATED_LEVEL)).alias(
             "saturated"
         ),
     )
@@ -64,7 +65,7 @@ def saturated_topics(stats: DataFrame, n: int = TOP_SATURATED) -> DataFrame:
 
 def topic_summary(df: DataFrame, stats: DataFrame, metric: str) -> DataFrame:
     _, mean = overall(df, metric)
-    return stats.agg(F.count(F.lit(1)).alias("total_topics")).select("total_topics", F.round(mean, 2).alias("avg_vps"))
+    return stats.agg(F.count(F.lit(1)).alias("total_topics")).select("total_topics", steady_round(mean, 2).alias("avg_vps"))
 
 
 def keyword_rows(
@@ -96,8 +97,8 @@ def keyword_stats(
         .filter((F.col("_avg") > F.col("_mean")) & (rate < KEYWORD_SHARE))
         .select(
             "keyword",
-            F.round("_avg", 2).alias("avg_vps"),
-            F.round(F.when(F.col("_mean") > 0, F.col("_avg") / F.col("_mean")).otherwise(F.lit(1.0)), 2).alias("multiplier"),
+            steady_round(F.col("_avg"), 2).alias("avg_vps"),
+            steady_round(F.when(F.col("_mean") > 0, F.col("_avg") / F.col("_mean")).otherwise(F.lit(1.0)), 2).alias("multiplier"),
             "usage_count",
             F.round(rate * 100, 2).alias("usage_percent"),
             F.round(rate, 6).alias("usage_rate"),
@@ -119,10 +120,10 @@ def format_stats(df: DataFrame, metric: str, flags: dict[str, Column]) -> DataFr
         .groupBy("format")
         .agg(F.avg("_m").alias("_avg"), F.count(F.lit(1)).alias("n_items"))
     )
-    multiplier = F.round(F.when(F.col("_mean") > 0, F.col("_avg") / F.col("_mean")).otherwise(F.lit(1.0)), 2)
+    multiplier = steady_round(F.when(F.col("_mean") > 0, F.col("_avg") / F.col("_mean")).otherwise(F.lit(1.0)), 2)
     return grouped.withColumns({"_total": total, "_mean": mean}).select(
         "format",
-        F.round("_avg", 2).alias("avg_vps"),
+        steady_round(F.col("_avg"), 2).alias("avg_vps"),
         multiplier.alias("multiplier"),
         "n_items",
         F.round(F.col("n_items") / F.col("_total") * 100, 2).alias("usage_percent"),
@@ -132,7 +133,7 @@ def format_stats(df: DataFrame, metric: str, flags: dict[str, Column]) -> DataFr
 
 def insights_summary(df: DataFrame, metric: str, group: str = "content_type") -> DataFrame:
     """Count and mean metric per group with the grand total (null group)."""
-    return df.rollup(group).agg(F.count(F.lit(1)).alias("n_items"), F.round(F.avg(metric), 2).alias("avg_vps"))
+    return df.rollup(group).agg(F.count(F.lit(1)).alias("n_items"), steady_round(F.avg(metric), 2).alias("avg_vps"))
 
 
 def flag_columns(prefix: str, names: Sequence[str] = FORMATS) -> dict[str, Column]:

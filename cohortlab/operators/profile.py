@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.metrics import confidence_label, is_significant, safe_key
+from cohortlab.functions.metrics import confidence_label, is_significant, safe_key, steady_round
 from cohortlab.functions.nested import Leaf, doc_leaves
 from cohortlab.scale import lookup_join
 
@@ -84,8 +84,8 @@ def numeric_profile(
     tidy = _tidy(wide, group, found, ["n_all", "n_top", "s_all", "w_all", "s_top", "w_top"])
     return tidy.filter(F.col("n_all") > 0).select(
         group, "path", "n_all", "n_top",
-        F.round(F.try_divide("s_all", "w_all"), 2).alias("all_avg"),
-        F.round(F.coalesce(F.try_divide("s_top", "w_top"), F.lit(0.0)), 2).alias("top_avg"),
+        steady_round(F.try_divide("s_all", "w_all"), 2).alias("all_avg"),
+        steady_round(F.coalesce(F.try_divide("s_top", "w_top"), F.lit(0.0)), 2).alias("top_avg"),
         confidence_label(F.col("n_all")).alias("confidence"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.metrics import steady_round
+
 MIN_POSTS = 5  # fixed value: smallest reported slot
 
 
@@ -26,7 +28,7 @@ def timing_profile(
             group,
             F.when(F.col("_by_day") == 1, "day").otherwise("hour").alias("dim"),
             F.when(F.col("_by_day") == 1, F.col("day")).otherwise(F.col("hour").cast("string")).alias("slot"),
-            F.round("_avg", 2).alias("avg_vps"),
+            steady_round(F.col("_avg"), 2).alias("avg_vps"),
             "n_items",
         )
         .filter(F.col("slot").isNotNull() & (F.col("n_items") >= MIN_POSTS))

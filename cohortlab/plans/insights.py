@@ -40,7 +40,7 @@ def build_cohort(
 def type_summary(cohort: DataFrame, metric: str = "vps") -> DataFrame:
     return cohort.groupBy("content_type").agg(
         F.count(F.lit(1)).alias("n_items"), F.count_if("is_top").alias("n_top"),
-        F.round(F.max("is_top_at"), 2).alias("top_threshold"), F.round(F.avg(metric), 2).alias("avg_vps"),
+        M.steady_round(F.max("is_top_at"), 2).alias("top_threshold"), M.steady_round(F.avg(metric), 2).alias("avg_vps"),
         F.count_if("is_top_eng").alias("n_top_engagement"), F.round(F.max("is_top_eng_at"), 4).alias("engagement_threshold"),
     )
 

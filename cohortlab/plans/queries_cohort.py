@@ -365,7 +365,7 @@ def recency_weighted_mean(spark, sf):
     """Decay weights in a weighted mean."""
     df = D.bare_items(spark, sf).withColumn("w", M.recency_weight(F.col("published_at"), D.as_of()))
     return df.groupBy("content_type").agg(
-        F.round(B.weighted_avg(F.col("views"), F.col("w")), 2).alias("weighted_avg"), F.round(F.avg("views"), 2).alias("plain_avg")
+        M.steady_round(B.weighted_avg(F.col("views"), F.col("w")), 2).alias("weighted_avg"), M.steady_round(F.avg("views"), 2).alias("plain_avg")
     )
 
 

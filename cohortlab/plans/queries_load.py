@@ -479,7 +479,7 @@ def append_sink_with_id(spark, sf):
 @query("json_report_sink", "SELECT o_orderpriority AS content_type, count(*) AS n, round(avg(o_totalprice), 2) AS avg_views, 'é ' || o_orderpriority AS label FROM orders GROUP BY ALL")
 def json_report_sink(spark, sf):
     """Report written and read back, non-ASCII kept."""
-    rows = D.bare_items(spark, sf).groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("views"), 2).alias("avg_views"))
+    rows = D.bare_items(spark, sf).groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), M.steady_round(F.avg("views"), 2).alias("avg_views"))
     rows = rows.withColumn("label", F.concat(F.lit("é "), F.col("content_type")))
     path = K.write_report(rows, stage_path(spark, "reports"), "summary", "20240101_000000")
     return K.read_report(spark, path, rows.schema)
