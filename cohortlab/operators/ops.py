@@ -168,7 +168,7 @@ def unresolved_split(progress: DataFrame) -> DataFrame:
         F.col("id"),
         M.is_owner_id(F.col("id")).alias("is_valid"),
         F.coalesce(*text("source_url", "title"), F.lit("")).alias("source_url"),
-        F.coalesce(*text("error_message"), F.lit("Unknown error (migrated)")).alias("error_message"),
+        F.coalesce(*text("error_message"), F.lit("Unknown error (migrated from scrape_progress)")).alias("error_message"),
         F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
         F.col("started_at").alias("first_seen_at"),
         F.col("last_processed_at").alias("last_attempt_at"),

@@ -10,9 +10,10 @@ from cohortlab.operators import bridge as B
 from cohortlab.operators import gaps as G
 from cohortlab.operators import recommend as R
 from cohortlab.operators import templates as P
+from cohortlab.operators.profile import bool_profile
 from cohortlab.operators.rate_limit import rate_limit
 from cohortlab.plans import bindings as D
-from cohortlab.plans.insights import run_insights, write_insights
+from cohortlab.plans.insights import run_insights, type_summary, write_insights
 from cohortlab.plans.queries_cohort import (
     BOOL_SQL, BOOLS, BY_BRAND, C_SQL, FORMAT_ROWS_SQL, KEYWORD_SQL, SLOT_SQL, T_SQL, bool_sql, event_timing, order_cohort, topic_cohort,
 )
@@ -298,9 +299,6 @@ def insight_digest(spark, sf):
 @query("insights_read", f"{C_SQL},{BOOL_SQL} SELECT 'thumbnails' AS insight_type, count(*) AS n_rows, TIMESTAMP '{D.AS_OF}' AS version FROM bool_rows UNION ALL SELECT 'summary', (SELECT count(DISTINCT content_type) FROM cohort), TIMESTAMP '{D.AS_OF}'")
 def insights_read(spark, sf):
     """Insight documents written by partition and read with their version."""
-    from cohortlab.operators.profile import bool_profile
-    from cohortlab.plans.insights import type_summary
-
     cohort = order_cohort(spark, sf)
     path = stage_path(spark, "insights")
     write_insights({"thumbnails": bool_profile(cohort.filter("image_analysis IS NOT NULL"), "image_analysis"), "summary": type_summary(cohort)}, path, D.as_of())

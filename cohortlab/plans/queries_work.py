@@ -468,7 +468,7 @@ def unresolved_fold(spark, sf):
     "unresolved_split",
     f"""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'c_' || o_custkey ELSE {OWNER.format("o_orderkey")} END AS id, o_orderkey % 3 > 0 AS is_valid,
   CASE WHEN o_orderkey % 2 = 0 THEN 'url' || o_orderkey WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '' END AS source_url,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'boom' ELSE 'Unknown error (migrated)' END AS error_message, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 ELSE 0 END AS retry_count,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'boom' ELSE 'Unknown error (migrated from scrape_progress)' END AS error_message, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 ELSE 0 END AS retry_count,
   o_orderdate AS first_seen_at, o_orderdate AS last_attempt_at FROM orders""",
 )
 def unresolved_split(spark, sf):

@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -20,10 +21,16 @@ LOOKUP_ROWS = 20_000
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables, from the session."""
+    """Shared folder for staged tables, from the session.
+
+    Only a local session (tests) may fall back to a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cohortlab.stage.dir", None)
     if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="cohortlab-")
+        spark.conf.set("cohortlab.stage.dir", root)
     return root.rstrip("/")
 
 

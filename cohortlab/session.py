@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +32,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("cohortlab.stage.dir", tempfile.mkdtemp(prefix="cohortlab-"))
     return spark

@@ -94,7 +94,7 @@ def test_stage_prunes_columns(spark, hot):
     assert "ReadSchema: struct<k:bigint>" in plan and "PushedFilters: [IsNotNull(k), EqualTo(k,3)]" in plan
 
 
-def test_stage_root_must_be_set(spark):
-    root = spark.conf.get("cohortlab.stage.dir", None)
-    has = spark.conf.get("spark.checkpoint.dir", None)
-    assert (root or has) and scale.stage_root(spark) == (has or root).rstrip("/")
+def test_stage_root_is_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    assert scale.stage_root(spark) == scale.stage_root(spark)
+    assert not shared or scale.stage_root(spark) == shared.rstrip("/")
