@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import byte_bpe
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, token_store
 from cohortlab.llm.common import table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -14,3 +14,45 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_store")
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(token_store.write(table(spark, sf_dir, "documents")))
+
+
+@query("op3_decontaminate", """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+  FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(i)
+  WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM items), spots AS (
+  SELECT d.doc_id, s.n, u.i, array_to_string(list_slice(d.w, u.i, u.i + s.n - 1), ' ') AS g
+  FROM d, sizes AS s, unnest(range(1, len(d.w) - s.n + 2)) AS u(i)
+  WHERE len(d.w) >= s.n
+), found AS (SELECT spots.doc_id, spots.i, spots.n, items.item_id FROM spots JOIN items USING (n, g)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p.k) AS n_hit FROM found, unnest(range(i, i + n)) AS p(k) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_adaptive_rules")
+def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.verdicts(table(spark, sf_dir, "documents"))
