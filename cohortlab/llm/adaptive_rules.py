@@ -37,10 +37,10 @@ OUTER, SPREAD = 0.75, 6.0
 MEASURES: dict[str, tuple[str, float]] = {
     "word_length": ("both", 1.5),
     "symbol_ratio": ("high", 0.10),
-    "dup_line_ratio": ("high", 0.30),
-    "repeat_ratio": ("high", 0.20),
+    "dup_line_ratio": ("high", 0.50),
+    "repeat_ratio": ("high", 0.45),
     "upper_ratio": ("high", 0.20),
-    "digit_ratio": ("high", 0.10),
+    "digit_ratio": ("high", 0.25),
     "unique_ratio": ("low", 0.25),
 }
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, token_store
-from cohortlab.llm.common import table
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, language_id, quality_nbsvm, token_store
+from cohortlab.llm.common import held_out, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,3 +57,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_adaptive_rules")
 def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~held_out()))
+    return language_id.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+@query("op6_quality_nbsvm")
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality")
+    model = quality_nbsvm.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality_nbsvm.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
