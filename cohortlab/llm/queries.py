@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, language_id, quality_nbsvm, token_store
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, jaccard_join, language_id, quality_nbsvm, token_store
 from cohortlab.llm.common import held_out, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -73,3 +73,8 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_nbsvm.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
     scored = quality_nbsvm.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
