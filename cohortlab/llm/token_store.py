@@ -46,7 +46,7 @@ END_ID = 1
 FRAME_IDS = 65_536
 LEVEL = 3
 # Encoded words a Python worker remembers, and the longest word it keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 CACHE_WORD_BYTES = 200
 
 # Fixed values of the file format.
@@ -62,16 +62,19 @@ INDEX_MAGIC = b"TKS1"
 
 # ASCII white space becomes a space and A-Z a-z; the tokenizer does both itself.
 PLAIN = bytes(32 if i in b"\t\n\v\f\r " else i + 32 if 65 <= i <= 90 else i for i in range(256))
-# A comma or full stop between a letter and white space is a piece of its own.
-STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?= |$)")
+# From a letter to ASCII punctuation other than an apostrophe: the tokenizer's pattern always ends a piece there.
+STEM = re.compile(rb"(.*?(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@[-`{-~].*)", re.S)
+
+
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 
 
 class WordEncoder:
-    """Encodes texts word by word with the tokenizers library and remembers words.
+    """Ids of words as little-endian uint32 bytes, encoded by the tokenizers library and remembered.
 
     The tokenizer's pattern never matches across white space and its
     normaliser works on single words, so the ids of a text are those of its
-    words in order. Each new word is encoded by the library.
+    words in order. A word with punctuation behind it is its stem and the rest.
     """
 
     def __init__(self, path: str):
@@ -81,23 +84,48 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def library(self, texts: list[bytes]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in coded]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words. Words of letters alone are one piece each: many go in one text, cut where a piece ends."""
+        known, parts = self.words, {}
+        for w in words:
+            if stem := STEM.fullmatch(w):
+                parts[w] = stem
+        wanted = {w for w in words if w not in parts}
+        wanted.update(x for stem in parts.values() for x in stem.groups() if x not in known)
+        plain = [w for w in wanted if LETTERS.fullmatch(w)]
+        other = [w for w in wanted if not LETTERS.fullmatch(w)]
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for group, ids in zip(groups, self.library([b" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                known.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(group))
+            else:
+                other += group
+        known.update((w, ids.tobytes()) for w, ids in zip(other, self.library(other), strict=True))
+        for w, stem in parts.items():
+            known[w] = known[stem[1]] + known[stem[2]]
 
     def batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes; null as empty."""
-        split = [STOP.sub(rb" \1", (t or "").encode().translate(PLAIN)).split() for t in texts]
-        known = self.words
-        new = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        """Ids of each whole text; null as empty."""
+        split = [(t or "").encode().translate(PLAIN).split() for t in texts]
+        met = set().union(*split)
+        if len(self.words) + len(met) > CACHE_WORDS:
+            self.words.clear()
+        self.learn(new := [w for w in met if w not in self.words])
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > CACHE_WORD_BYTES:
-                del known[w]
+                del self.words[w]
         return out
 
 
