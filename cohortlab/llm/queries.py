@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, jaccard_join, language_id, quality_nbsvm, token_store
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, quality_nbsvm, token_store
 from cohortlab.llm.common import held_out, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -78,3 +78,14 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fuzzy_lines")
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.dedup(docs).select(
+        "doc_id",
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
