@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, quality_nbsvm, quote_links, token_store
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, pii_boost, quality_nbsvm, quote_links, token_store
 from cohortlab.llm.common import held_out, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -95,3 +95,9 @@ def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = quote_links.threads(table(spark, sf_dir, "conversations"))
     return told.drop("text", "role").withColumn("text_sha256", F.sha2(told["text"], 256))
+
+
+@query("op9_pii_boost")
+def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_boost.report(docs, pii_boost.fit(docs))
