@@ -173,9 +173,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     data = sorted(zip(*(sample.column(c).to_pylist() for c in ("key", "label", "at")), strict=True))
     at = [np.frombuffer(d[2], np.int32) for d in data]
     y = np.array([1.0 if d[1] == 1 else -1.0 for d in data])
-    n_good = good[0] + good.max(initial=0)
     if len(set(y.tolist())) < 2:
-        sure = 4.0 if (len(y) and y[0] > 0) or (not len(y) and n_good > 0) else -4.0 if len(y) else 0.0
+        sure = (4.0 if y[0] > 0 else -4.0) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1e-6, sure)
     aside = np.arange(len(y)) % ASIDE == 0 if len(y) >= 10 * ASIDE else np.zeros(len(y), bool)
     learn = np.flatnonzero(~aside)

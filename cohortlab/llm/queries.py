@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, pii_boost, quality_nbsvm, quote_links, token_store
-from cohortlab.llm.common import held_out, table
+from cohortlab.llm.common import held_out, sized, stage, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,8 +69,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_nbsvm")
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality")
-    model = quality_nbsvm.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = stage(table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality"), "labels")
+    # 16 bytes a row: broadcast while small, so that texts are not shuffled; else joined by shuffle
+    model = quality_nbsvm.fit(docs.select("doc_id", "text").join(sized(labels, 16), "doc_id"))
     scored = quality_nbsvm.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
