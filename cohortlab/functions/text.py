@@ -345,8 +345,14 @@ def text_features(title: Column, description: Column, strict_domains: bool = Fal
     )
 
 
-def analysis_input_text(title: Column, description: Column) -> Column:
-    cut = F.left(F.coalesce(description, F.lit("")), F.lit(MAX_INPUT_DESCRIPTION))
+def cut_to(text: Column, max_chars: int | None) -> Column:
+    """The whole text, or its first ``max_chars`` characters if a limit is given."""
+    return text if max_chars is None else F.left(text, F.lit(max_chars))
+
+
+def analysis_input_text(title: Column, description: Column, max_chars: int | None = None) -> Column:
+    """Title and description as one text; ``max_chars`` (see MAX_INPUT_DESCRIPTION) cuts the description."""
+    cut = cut_to(F.coalesce(description, F.lit("")), max_chars)
     body = F.when(cut.rlike(rf"[^{SPACE}]"), cut).otherwise(F.lit(NO_DESCRIPTION))
     return F.concat(F.lit("TITLE:\n"), title, F.lit("\n\nDESCRIPTION:\n"), body)
 
@@ -356,14 +362,14 @@ def strip_code_fence(text: Column) -> Column:
     return strip(F.regexp_replace(strip(text), r"^```(?:json)?|```$", ""))
 
 
-def sanitize(text: Column, max_length: int) -> Column:
+def sanitize(text: Column, max_length: int | None = None) -> Column:
     """Drop control characters, collapse white space, trim and cut."""
     no_control = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1F\x7F]", "")
-    return F.left(strip(F.regexp_replace(no_control, rf"[{SPACE}]+", " ")), F.lit(max_length))
+    return cut_to(strip(F.regexp_replace(no_control, rf"[{SPACE}]+", " ")), max_length)
 
 
-def escape_markup(text: Column, max_length: int = 500) -> Column:
+def escape_markup(text: Column, max_length: int | None = None) -> Column:
     """Remove fences, rules and angle brackets; squeeze blank lines; cut."""
     for pattern, by in [("```", ""), ("---+", ""), ("===+", ""), ("\n{3,}", "\n\n"), ("[<>]", "")]:
         text = F.regexp_replace(text, pattern, by)
-    return F.left(text, F.lit(max_length))
+    return cut_to(text, max_length)

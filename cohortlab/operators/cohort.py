@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlab.functions import metrics as M
 from cohortlab.scale import group_quantile, group_quantiles, lookup_join, one_value
@@ -118,8 +121,16 @@ def positive_share(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame
     )
 
 
+def has_value(value: Column, dtype: T.DataType) -> Column:
+    """Whether a value, or any field of a nested document, is not null."""
+    if isinstance(dtype, T.StructType):
+        return reduce(or_, [has_value(value[f.name], f.dataType) for f in dtype.fields], F.lit(False))
+    return value.isNotNull()
+
+
 def with_document(df: DataFrame, doc: str) -> DataFrame:
-    return df.filter(F.col(doc).isNotNull())
+    """Rows whose document holds at least one value; an empty object counts as none."""
+    return df.filter(has_value(F.col(doc), df.schema[doc].dataType))
 
 
 def required_fields_report(df: DataFrame, fields: Sequence[str]) -> DataFrame:

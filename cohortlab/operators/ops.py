@@ -22,7 +22,8 @@ def flag_sync(flags: DataFrame, owners: DataFrame) -> DataFrame:
     ``flags`` has (handle, analyze_enabled, category, label, ord): the last
     row of a handle wins. ``owners`` has (owner_id, custom_url,
     analyze_enabled, category). Statuses: updated, unchanged, unmatched_flag,
-    unmatched_owner.
+    unmatched_owner. Owners without a handle match nothing and stay out of the join,
+    so they never meet on one key.
     """
     last = (
         flags.filter(F.col("handle") != "")
@@ -34,7 +35,8 @@ def flag_sync(flags: DataFrame, owners: DataFrame) -> DataFrame:
         "owner_id", F.lower(F.regexp_replace(F.coalesce("custom_url", F.lit("")), "^@+", "")).alias("handle"),
         F.col("analyze_enabled").alias("old_enabled"), F.col("category").alias("old_category"),
     )
-    joined = last.join(mine, "handle", "full_outer")
+    named, nameless = mine.filter(F.col("handle") != ""), mine.filter(F.col("handle") == "")
+    joined = last.join(named, "handle", "full_outer").unionByName(nameless, allowMissingColumns=True)
     flag_changed = ~F.col("old_enabled").eqNullSafe(F.col("new_enabled"))
     category_changed = (F.col("new_category") != "") & ~F.col("old_category").eqNullSafe(F.col("new_category"))
     status = (
@@ -102,8 +104,11 @@ def failed_images(results: DataFrame) -> DataFrame:
 def progress_fold(events: DataFrame) -> DataFrame:
     """Current progress per owner from its event log.
 
-    ``events`` has (owner_id, ts, seq, event, n). Events: start, progress
-    (n = rows done so far), completed, failed, update (n = new rows), refresh.
+    ``events`` has (owner_id, ts, seq, event, n). Events: start (begins anew:
+    no rows, no retries), progress (n = rows done so far, whatever was
+    counted before), completed, failed, update (n = new rows on top), refresh.
+    ``update_new_items`` is what the last update brought. Both passes combine
+    map-side; the marks of an owner are one row.
     """
     order = F.struct("ts", "seq")
 
@@ -114,14 +119,20 @@ def progress_fold(events: DataFrame) -> DataFrame:
         F.when(at("start"), "pending").when(at("progress"), "in_progress").when(at("completed"), "completed")
         .when(at("failed"), "failed")
     )
+    level = F.when(at("start"), F.lit(0)).when(at("progress"), F.col("n")).cast("long")
+    marks = events.groupBy(F.col("owner_id").alias("_id")).agg(
+        F.max(F.when(at("start"), order)).alias("_start"),
+        F.max(F.when(level.isNotNull(), order)).alias("_set"),
+        F.max_by(F.when(level.isNotNull(), level), F.when(level.isNotNull(), order)).alias("_level"),
+    )
+    later = lambda mark: F.col(mark).isNull() | (order > F.col(mark))
+    events = events.join(marks, F.col("owner_id").eqNullSafe(F.col("_id")))
+    added = F.sum(F.when(at("update") & later("_set"), F.col("n")))
     return events.groupBy("owner_id").agg(
         F.max_by(F.when(status.isNotNull(), status), F.when(status.isNotNull(), order)).alias("status"),
-        (
-            F.coalesce(F.max_by(F.when(at("progress"), F.col("n")), F.when(at("progress"), order)), F.lit(0))
-            + F.coalesce(F.sum(F.when(at("update"), F.col("n"))), F.lit(0))
-        ).cast("long").alias("items_processed"),
-        F.count_if(at("failed")).alias("retry_count"),
-        F.coalesce(F.sum(F.when(at("update"), F.col("n"))), F.lit(0)).cast("long").alias("update_new_items"),
+        (F.coalesce(F.max("_level"), F.lit(0)) + F.coalesce(added, F.lit(0))).cast("long").alias("items_processed"),
+        F.count_if(at("failed") & later("_start")).alias("retry_count"),
+        F.coalesce(F.max_by(F.when(at("update"), F.col("n")), F.when(at("update"), order)), F.lit(0)).cast("long").alias("update_new_items"),
         F.count_if(at("refresh")).alias("refreshes"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_processed_at"),
@@ -159,7 +170,7 @@ def unresolved_fold(attempts: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_split(progress: DataFrame) -> DataFrame:
+def unresolved_split(progress: DataFrame, unknown: str = "no error was recorded") -> DataFrame:
     """Separate rows whose id is not an owner id, with field defaults."""
     def text(*cols: str) -> list[Column]:
         return [F.when(F.col(c) != "", F.col(c)) for c in cols]
@@ -168,7 +179,7 @@ def unresolved_split(progress: DataFrame) -> DataFrame:
         F.col("id"),
         M.is_owner_id(F.col("id")).alias("is_valid"),
         F.coalesce(*text("source_url", "title"), F.lit("")).alias("source_url"),
-        F.coalesce(*text("error_message"), F.lit("Unknown error (migrated from scrape_progress)")).alias("error_message"),
+        F.coalesce(*text("error_message"), F.lit(unknown)).alias("error_message"),
         F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
         F.col("started_at").alias("first_seen_at"),
         F.col("last_processed_at").alias("last_attempt_at"),
@@ -249,13 +260,16 @@ def performance_percentile(df: DataFrame, owner: str, metric: str, out: str = "p
     """Percent rank of the metric within its owner.
 
     Distinct values are counted and running sums spread over range
-    partitions, so a hot owner is never sorted in one task.
+    partitions, so a hot owner is never sorted in one task. A row without a
+    metric keeps a null rank and does not count for the others.
     """
-    counts = df.groupBy(owner, F.col(metric).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(metric).isNotNull()).groupBy(owner, F.col(metric).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     below = running_total(counts, ["_v"], {"_upto": F.col("_c")}, [owner]).withColumn("_lower", F.col("_upto") - F.col("_c"))
     sizes = counts.groupBy(owner).agg(F.sum("_c").alias("_n"))
-    ranked = lookup_join(below, sizes, [owner]).select(
-        owner, "_v",
+    same = below.join(sizes.withColumnRenamed(owner, "_o"), F.col(owner).eqNullSafe(F.col("_o")))
+    ranked = same.select(
+        F.col(owner).alias("_o"), "_v",
         F.when(F.col("_n") > 1, F.col("_lower") / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(out),
     )
-    return df.join(ranked.withColumnRenamed("_v", metric), [owner, metric])
+    match = F.col(owner).eqNullSafe(F.col("_o")) & (F.col(metric) == F.col("_v"))
+    return df.join(ranked, match, "left").drop("_o", "_v")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cohortlab.scale import stage
 
 MAX_REQUESTS, WINDOW_MS = 100, 3_600_000  # fixed values: 100 requests per hour
+# Requests without a key share one bucket.
+NO_KEY = "unknown"
 
 
 def _window_starts(window_ms: int):
@@ -53,7 +55,7 @@ def window_starts(requests: DataFrame, key: str, ms: str, window_ms: int = WINDO
     so a hot key is bounded by elapsed time, not by its number of requests;
     the sorted scan holds one batch at a time.
     """
-    ticks = requests.select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms")).distinct()
+    ticks = requests.select(F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), F.col(ms).cast("long").alias("ms")).distinct()
     ordered = ticks.repartition("key").sortWithinPartitions("key", "ms")
     return ordered.mapInPandas(_window_starts(window_ms), "key string, window_start long")
 
@@ -71,7 +73,7 @@ def rate_limit(
     first = F.floor(F.col("window_start") / window_ms)
     by_bucket = starts.select("key", "window_start", F.explode(F.array(first, first + 1)).alias("_bucket"))
     rows = requests.withColumns(
-        {"_key": F.col(key).cast("string"), "_ms": F.col(ms).cast("long"), "_bucket": F.floor(F.col(ms) / window_ms)}
+        {"_key": F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)), "_ms": F.col(ms).cast("long"), "_bucket": F.floor(F.col(ms) / window_ms)}
     )
     placed = rows.join(
         by_bucket.withColumnRenamed("key", "_key"), ["_key", "_bucket"]

@@ -160,13 +160,14 @@ def with_insights(rows: DataFrame, insights: Insights) -> DataFrame:
             )
         ).scalar()
 
-    def topics(table: DataFrame | None, n: int) -> Column:
+    def topics(table: DataFrame | None) -> Column:
+        # the lists were ranked and cut where they were made; all of them count here
         if table is None:
             return F.array().cast(TEXTS)
-        return table.limit(n).agg(F.collect_list(F.lower("topic"))).scalar()
+        return table.agg(F.array_sort(F.collect_set(F.lower("topic")))).scalar()
 
     return rows.withColumns(
-        {"_best": best, "_days": days, "_open": topics(insights.gaps, 20), "_full": topics(insights.saturated, 10)}
+        {"_best": best, "_days": days, "_open": topics(insights.gaps), "_full": topics(insights.saturated)}
     )
 
 
@@ -222,6 +223,17 @@ def prediction(topic: Column, kind: Column, version: str | None = None) -> Colum
     )
 
 
+def one_plan(production: DataFrame) -> DataFrame:
+    """The plan of each known type; two plans of one type are an error, so there are at most ``len(P.TYPES)`` rows."""
+    plan = F.struct(*[c for c in production.columns if c != "type"])
+    kind = production.select(plan.alias("p")).schema["p"].dataType
+    twice = F.raise_error(F.lit("two production plans for one type")).cast(kind)
+    rows = production.filter(F.col("type").isin(P.TYPES)).groupBy("type")
+    return rows.agg(F.first(plan).alias("_plan"), F.count(F.lit(1)).alias("_n")).select(
+        "type", F.when(F.col("_n") == 1, F.col("_plan")).otherwise(twice).alias("_plan")
+    ).select("type", "_plan.*")
+
+
 def recommend(
     requests: DataFrame, insights: Insights, production: DataFrame | None = None, model: str = "template"
 ) -> DataFrame:
@@ -242,7 +254,7 @@ def recommend(
         ).alias("metadata"),
     )
     if production is not None:
-        out = out.join(F.broadcast(production.filter(F.col("type").isin(P.TYPES)).limit(len(P.TYPES))), "type", "left")
+        out = out.join(F.broadcast(one_plan(production)), "type", "left")
     return out
 
 

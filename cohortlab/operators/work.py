@@ -95,10 +95,7 @@ def capped_requests(requests: DataFrame, limit: int = BATCH_REQUESTS, order: Seq
     """
     ready = requests.filter(F.col("reject").isNull())
     keys = ready.select(*order)
-    if limit <= BATCH_REQUESTS:
-        first = keys.orderBy(*order).limit(limit)  # top-k, merged from per-task heads
-    else:
-        first = row_numbers(keys, list(order), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
+    first = row_numbers(keys, list(order), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
     return lookup_join(ready, first, list(order), "left_semi", max_rows=BATCH_REQUESTS)
 
 
@@ -141,7 +138,7 @@ def missing_before_full(work: DataFrame, owners: DataFrame, limit: int) -> Colum
     last = owners.filter(F.col("scanned") & (F.col("_before") + F.col("_ready") >= limit)).select("owner_id", "_before")
     in_whole = work.join(whole, "owner_id", "left_semi").agg(F.coalesce(F.sum(bad), F.lit(0)).alias("n"))
     # one owner at most: cut at the item that fills the batch
-    edge = work.join(F.broadcast(last.limit(1)), "owner_id").filter(~F.col("analyzed"))
+    edge = work.join(F.broadcast(last), "owner_id").filter(~F.col("analyzed"))
     edge = running_total(edge, ["item_id"], {"_ready_upto": F.col("reject").isNull().cast("long")})
     full_at = edge.filter(F.col("_before") + F.col("_ready_upto") >= limit).agg(F.min("item_id")).scalar()
     in_edge = edge.withColumn("_full", full_at).filter(F.col("item_id") <= F.col("_full")).agg(

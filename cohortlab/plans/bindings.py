@@ -177,7 +177,7 @@ TOPIC_SQL = """
 topical AS (
   SELECT cohort.*, p_type AS niche, p_brand AS sub_niche, string_split(p_name, ' ')[1] AS primary_keyword,
     string_split(p_name, ' ')[2] || ', ' || p_brand || ' ' || p_type AS secondary_keywords
-  FROM cohort JOIN part ON key_part = p_partkey
+  FROM cohort LEFT JOIN part ON key_part = p_partkey
 )"""
 
 
@@ -187,7 +187,8 @@ def with_topic(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
         F.split("p_name", " ")[0].alias("primary_keyword"),
         F.concat(F.split("p_name", " ")[1], F.lit(", "), F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("secondary_keywords"),
     )
-    return df.join(p, "key_part")
+    # items without a part stay, as topic 'unknown'
+    return df.join(p, "key_part", "left")
 
 
 # --- documents as texts, pages as links, events as posts ---------------------

@@ -428,11 +428,11 @@ topic_rows AS (
     round(a / (n + 1), 3) AS opportunity_score, n > total * 0.1 AND round(a, 2) < mean * 0.8 AS saturated
   FROM (SELECT {topic} AS topic, avg(vps) AS a, count(*) AS n FROM topical WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 3), tot
 )"""
-BY_BRAND = TOPIC_STATS_SQL.format(topic="niche || '/' || sub_niche")
-BY_NICHE = TOPIC_STATS_SQL.format(topic="niche")
+BY_BRAND = TOPIC_STATS_SQL.format(topic="coalesce(niche, 'unknown') || CASE WHEN coalesce(sub_niche, '') <> '' THEN '/' || sub_niche ELSE '' END")
+BY_NICHE = TOPIC_STATS_SQL.format(topic="coalesce(niche, 'unknown')")
 # low-metric half of one niche makes it saturated
 PENALTY = "CASE WHEN niche = 'SMALL' THEN vps * 0.3 ELSE vps END"
-PENAL_SQL = TOPIC_STATS_SQL.format(topic="niche").replace("topical", "penal")
+PENAL_SQL = TOPIC_STATS_SQL.format(topic="coalesce(niche, 'unknown')").replace("topical", "penal")
 
 
 def brand_topics(spark, sf):

@@ -177,7 +177,7 @@ def request_insights(spark, sf, full=False):
 TOPICS_SQL = """ptot AS (SELECT count(*) AS total, avg(vps) FILTER (WHERE vps > 0) AS mean FROM penal),
 ptopics AS (
   SELECT topic, round(a, 2) AS avg_vps, n AS n_items, round(n / total * 100, 2) AS content_share, round(a / (n + 1), 3) AS opportunity_score, n > total * 0.1 AND round(a, 2) < mean * 0.8 AS saturated
-  FROM (SELECT lower(niche) AS topic, avg(vps) AS a, count(*) AS n FROM penal WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 3), ptot
+  FROM (SELECT lower(coalesce(niche, 'unknown')) AS topic, avg(vps) AS a, count(*) AS n FROM penal WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 3), ptot
 ),
 pgaps AS (SELECT * FROM ptopics ORDER BY opportunity_score DESC, topic LIMIT 3),
 psat AS (SELECT * FROM ptopics WHERE saturated ORDER BY opportunity_score DESC, topic LIMIT 10)"""

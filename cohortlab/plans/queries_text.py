@@ -292,7 +292,7 @@ def deep_merge_query(spark, sf):
     "WITH "
     + D.TEXTS_SQL
     + """ SELECT doc_id, 'TITLE:' || chr(10) || title || chr(10) || chr(10) || 'DESCRIPTION:' || chr(10) ||
-  CASE WHEN regexp_matches(left(description, 10000), '[^\\s\\p{Z}]') THEN left(description, 10000) ELSE '(no description provided)' END AS input FROM texts""",
+  CASE WHEN regexp_matches(description, '[^\\s\\p{Z}]') THEN description ELSE '(no description provided)' END AS input FROM texts""",
 )
 def analysis_input_text(spark, sf):
     """T20."""
@@ -314,16 +314,16 @@ def strip_json_fences(spark, sf):
 
 @query(
     "sanitize_input",
-    r"""SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 200) AS clean FROM conversations""",
+    r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS clean FROM conversations""",
 )
 def sanitize_input(spark, sf):
     """T22."""
-    return D.table(spark, sf, "conversations").select("conv_id", "turn", X.sanitize(F.col("text"), 200).alias("clean"))
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", X.sanitize(F.col("text")).alias("clean"))
 
 
 @query(
     "escape_text",
-    """SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '```', '', 'g'), '---+', '', 'g'), '===+', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[<>]', '', 'g'), 500) AS escaped FROM pages""",
+    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '```', '', 'g'), '---+', '', 'g'), '===+', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[<>]', '', 'g') AS escaped FROM pages""",
 )
 def escape_text(spark, sf):
     """T23."""

@@ -140,7 +140,7 @@ items AS (
 ),
 requests AS (
   SELECT *, source_key || '_' || item_id || '_title_description' AS key, regexp_matches(title, '[^\\s\\p{Z}]') AS ready,
-    'TITLE:' || chr(10) || title || chr(10) || chr(10) || 'DESCRIPTION:' || chr(10) || CASE WHEN regexp_matches(left(description, 10000), '[^\\s\\p{Z}]') THEN left(description, 10000) ELSE '(no description provided)' END AS body
+    'TITLE:' || chr(10) || title || chr(10) || chr(10) || 'DESCRIPTION:' || chr(10) || CASE WHEN regexp_matches(description, '[^\\s\\p{Z}]') THEN description ELSE '(no description provided)' END AS body
   FROM (SELECT *, owner_id AS source_key FROM items) WHERE NOT short AND NOT analyzed
 )"""
 R_SQL = "WITH " + D.TEXTS_SQL + "," + REQUEST_SQL
@@ -406,7 +406,7 @@ def analysis_progress(spark, sf):
 
 
 # owner event log: one row per event, its type decides what happened
-LOG_SQL = "CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'refresh' END"
+LOG_SQL = "CASE WHEN event_id % 11 = 0 THEN 'start' ELSE CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'refresh' END END"
 
 
 def owner_log(spark, sf):
@@ -417,12 +417,15 @@ def owner_log(spark, sf):
 
 PROGRESS_SQL = f"""
 log AS (SELECT user_id AS owner_id, ts, event_id AS seq, {LOG_SQL} AS event, CAST(floor(value) AS BIGINT) AS n FROM events),
+runs AS (SELECT *, count(*) FILTER (WHERE event = 'start') OVER w AS run, count(*) FILTER (WHERE event IN ('start', 'progress')) OVER w AS level FROM log
+  WINDOW w AS (PARTITION BY owner_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT *, max(run) OVER (PARTITION BY owner_id) AS last_run, max(level) OVER (PARTITION BY owner_id) AS last_level FROM runs),
 progress AS (
-  SELECT owner_id, CASE arg_max(event, seq) FILTER (WHERE event IN ('progress', 'completed', 'failed')) WHEN 'progress' THEN 'in_progress' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' END AS status,
-    CAST(coalesce(arg_max(n, seq) FILTER (WHERE event = 'progress'), 0) + coalesce(sum(n) FILTER (WHERE event = 'update'), 0) AS BIGINT) AS items_processed,
-    count(*) FILTER (WHERE event = 'failed') AS retry_count, CAST(coalesce(sum(n) FILTER (WHERE event = 'update'), 0) AS BIGINT) AS update_new_items,
+  SELECT owner_id, CASE arg_max(event, (ts, seq)) FILTER (WHERE event IN ('start', 'progress', 'completed', 'failed')) WHEN 'start' THEN 'pending' WHEN 'progress' THEN 'in_progress' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' END AS status,
+    CAST(coalesce(sum(n) FILTER (WHERE level = last_level AND event IN ('progress', 'update')), 0) AS BIGINT) AS items_processed,
+    count(*) FILTER (WHERE event = 'failed' AND run = last_run) AS retry_count, CAST(coalesce(arg_max(n, (ts, seq)) FILTER (WHERE event = 'update'), 0) AS BIGINT) AS update_new_items,
     count(*) FILTER (WHERE event = 'refresh') AS refreshes, min(ts) AS started_at, max(ts) AS last_processed_at
-  FROM log GROUP BY ALL
+  FROM ends GROUP BY owner_id
 )"""
 
 
@@ -468,7 +471,7 @@ def unresolved_fold(spark, sf):
     "unresolved_split",
     f"""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'c_' || o_custkey ELSE {OWNER.format("o_orderkey")} END AS id, o_orderkey % 3 > 0 AS is_valid,
   CASE WHEN o_orderkey % 2 = 0 THEN 'url' || o_orderkey WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '' END AS source_url,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'boom' ELSE 'Unknown error (migrated from scrape_progress)' END AS error_message, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 ELSE 0 END AS retry_count,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'boom' ELSE 'no error was recorded' END AS error_message, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 ELSE 0 END AS retry_count,
   o_orderdate AS first_seen_at, o_orderdate AS last_attempt_at FROM orders""",
 )
 def unresolved_split(spark, sf):
@@ -516,7 +519,7 @@ def quota_ledger(spark, sf):
 @query(
     "flag_sync",
     """WITH f AS (SELECT 'h' || (c_custkey * 2) AS handle, c_custkey % 2 = 0 AS new_enabled, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '' END AS new_category FROM customer),
-o AS (SELECT c_custkey AS owner_id, 'h' || c_custkey AS handle, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 = 0 END AS old_enabled, 'BUILDING' AS old_category FROM customer)
+o AS (SELECT c_custkey AS owner_id, CASE WHEN c_custkey % 7 > 0 THEN 'h' || c_custkey ELSE '' END AS handle, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 = 0 END AS old_enabled, 'BUILDING' AS old_category FROM customer)
 SELECT coalesce(f.handle, o.handle) AS handle, owner_id, CASE WHEN owner_id IS NULL THEN 'unmatched_flag' WHEN new_enabled IS NULL THEN 'unmatched_owner'
     WHEN old_enabled IS DISTINCT FROM new_enabled OR (new_category <> '' AND old_category IS DISTINCT FROM new_category) THEN 'updated' ELSE 'unchanged' END AS status,
   coalesce(new_enabled, old_enabled) AS analyze_enabled, CASE WHEN new_category <> '' AND old_category IS DISTINCT FROM new_category THEN new_category ELSE coalesce(old_category, new_category) END AS category
@@ -531,7 +534,7 @@ def flag_sync(spark, sf):
     )
     older = sheet.select("handle", (~F.col("analyze_enabled")).alias("analyze_enabled"), F.lit("OLD").alias("category"), F.lit(1).alias("ord"))
     owners = c.select(
-        k.alias("owner_id"), F.concat(F.lit("@H"), k.cast("string")).alias("custom_url"), F.when(k % 5 > 0, k % 4 == 0).alias("analyze_enabled"), F.lit("BUILDING").alias("category"),
+        k.alias("owner_id"), F.when(k % 7 > 0, F.concat(F.lit("@H"), k.cast("string"))).alias("custom_url"), F.when(k % 5 > 0, k % 4 == 0).alias("analyze_enabled"), F.lit("BUILDING").alias("category"),
     )
     return O.flag_sync(sheet.unionByName(older), owners)
 
@@ -636,8 +639,9 @@ def owner_stats(spark, sf):
     return stats.select("owner_id", "n_items", *[F.round(c, 6).alias(c) for c in ("avg_views", "avg_engagement", "uploads_per_week")])
 
 
-@query("performance_percentile", "SELECT o_orderkey AS item_id, o_custkey % 20 AS grp, round(percent_rank() OVER (PARTITION BY o_custkey % 20 ORDER BY o_totalprice), 8) AS percentile FROM orders")
+@query("performance_percentile", "SELECT o_orderkey AS item_id, CASE WHEN o_custkey % 20 > 0 THEN o_custkey % 20 END AS grp, CASE WHEN o_orderkey % 7 > 0 THEN round(percent_rank() OVER (PARTITION BY o_custkey % 20, o_orderkey % 7 > 0 ORDER BY o_totalprice), 8) END AS percentile FROM orders")
 def performance_percentile(spark, sf):
     """Percent rank in the owner, here in twenty groups of owners."""
-    o = D.bare_items(spark, sf).select("item_id", (F.col("owner_id") % 20).alias("grp"), "views")
+    group = F.col("owner_id") % 20
+    o = D.bare_items(spark, sf).select("item_id", F.when(group > 0, group).alias("grp"), F.when(F.col("item_id") % 7 > 0, F.col("views")).alias("views"))
     return O.performance_percentile(o, "grp", "views").select("item_id", "grp", F.round("percentile", 8).alias("percentile"))

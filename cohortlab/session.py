@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,8 +19,13 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the local bench (not for clusters)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and the local bench (not for clusters).
+
+    ``shared`` is the folder for staged tables; a new one is made if neither
+    it nor SPARK_CHECKPOINT_DIR is given.
+    """
+    shared = shared or os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="cohortlab-")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cohortlab")
@@ -27,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", shared)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

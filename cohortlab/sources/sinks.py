@@ -27,11 +27,13 @@ def _sided(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys], F.lit(True).alias("_here")).alias(side))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], present: Sequence[str] = ()) -> DataFrame:
     """Insert new keys; on known keys overwrite only the fields present.
 
-    A null in ``new`` means "not in this record". Columns that only one side
-    has are kept. Keys must be unique per side (see ``newest_per_key``).
+    A null in ``new`` means "not in this record", but for the columns in
+    ``present``, which every record of this kind carries: there a null clears the
+    stored value. Columns that only one side has are kept. Keys must be
+    unique per side (see ``newest_per_key``).
     """
     keys = list(keys)
     joined = _sided(old, keys, "_o").join(_sided(new, keys, "_n"), keys, "full_outer")
@@ -42,6 +44,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
             value = F.col(f"_o.{name}")
         elif name not in old.columns:
             value = F.col(f"_n.{name}")
+        elif name in present:
+            value = F.when(F.col("_n").isNull(), F.col(f"_o.{name}")).otherwise(F.col(f"_n.{name}"))
         else:
             value = _merge_value(F.col(f"_o.{name}"), F.col(f"_n.{name}"), old.schema[name].dataType)
         out.append(value.alias(name))
@@ -49,8 +53,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def update_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Upsert limited to some columns (statistics refresh)."""
-    return upsert(old, new.select(*keys, *columns), keys)
+    """Upsert limited to some columns, all of which each record carries (statistics refresh)."""
+    return upsert(old, new.select(*keys, *columns), keys, present=columns)
 
 
 def patch_existing(old: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,9 +71,14 @@ def patch_existing(old: DataFrame, patch: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the newest; combined map-side, so hot keys are fine."""
+    """One row per key, the newest; combined map-side, so hot keys are fine.
+
+    Rows of the same age are settled by a hash of their content, so the
+    result does not depend on how the rows are partitioned.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    content = F.xxhash64(F.to_json(F.struct(*rest)))
+    best = F.max_by(F.struct(*rest), F.struct(*order, content)).alias("_r")
     return df.groupBy(*keys).agg(best).select(*keys, "_r.*")
 
 

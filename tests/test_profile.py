@@ -173,3 +173,9 @@ def test_deep_merge(spark):
 def test_profile_json(spark):
     rows = P.bool_profile(docs(spark, [(True, (True,))] * 12, "b: boolean"), "doc").withColumn("section", F.lit("s"))
     assert '"b":[' in one(P.profile_json(rows)).document
+
+
+def test_empty_documents_do_not_count(spark):
+    rows = [(1, "{}"), (2, None), (3, '{"a": {"b": null}}'), (4, '{"a": {"b": false}}'), (5, '{"c": 0}')]
+    df = spark.createDataFrame(rows, "id int, j string").withColumn("doc", F.from_json("j", "a struct<b boolean>, c int"))
+    assert sorted(r.id for r in C.with_document(df, "doc").collect()) == [4, 5]

@@ -85,3 +85,10 @@ def test_incremental_stream_resumes(spark, tmp_path):
     pd.DataFrame({"id": [2, 3], "at": [day + pd.Timedelta(days=1)] * 2}).astype({"at": "datetime64[us]"}).to_parquet(src / "b.parquet")
     run()
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_requests_without_a_key_are_decided_too(spark):
+    rows = [("a", 0, 1), (None, 0, 2), (None, 5, 3)]
+    df = spark.createDataFrame(rows, "key string, ms long, seq long")
+    got = {r.seq: (r.allowed, r.remaining) for r in rate_limit(df, "key", "ms", "seq", max_requests=1, window_ms=100).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (False, 0)}

@@ -88,3 +88,15 @@ def test_sections_tags_and_generations(spark, requests):
     assert R.fill_sections(given, base, ["posting"]).filter("posting IS NULL").count() == 0
     rows = spark.createDataFrame([("ideas", "r", "x"), ("other", "r", "x"), ("ideas", None, "x")], "type string, request string, response string")
     assert [r.reject_reason is None for r in R.validate_generation(rows).collect()] == [True, False, False]
+
+
+def test_two_plans_of_one_type_are_an_error(spark, requests):
+    plans = spark.createDataFrame([("recipe", "x")] * 5 + [("vlog", "y")], "type string, production string")
+    with pytest.raises(Exception, match="two production plans"):
+        R.recommend(R.validate(requests).filter("reject_reason IS NULL"), R.Insights(), plans).collect()
+
+
+def test_all_listed_topics_count(spark):
+    table = spark.createDataFrame([(f"Topic{i:02d}",) for i in range(40)], "topic string")
+    rows = R.with_insights(spark.range(1), R.Insights(gaps=table, saturated=table)).first()
+    assert len(rows["_open"]) == len(rows["_full"]) == 40

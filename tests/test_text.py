@@ -99,8 +99,8 @@ def test_hashtag_position(spark, lines, position):
 
 def test_cleaning(spark):
     df = spark.createDataFrame([("a\nb  c\t d ", '```json\n{"a": 1}\n```', "<b>x</b> ---- y\n\n\n\nz" + "q" * 600)], "s string, j string, e string")
-    r = df.select(X.sanitize(F.col("s"), 5).alias("s"), X.strip_code_fence(F.col("j")).alias("j"), X.escape_markup(F.col("e")).alias("e")).first()
+    r = df.select(X.sanitize(F.col("s"), 5).alias("s"), X.strip_code_fence(F.col("j")).alias("j"), X.escape_markup(F.col("e"), 500).alias("e")).first()
     assert r.s == "ab c " and r.j == '{"a": 1}' and r.e.startswith("bx/b  y\n\nz") and len(r.e) == 500
     long = spark.createDataFrame([("t", "d" * 10_500), ("t", "  ")], "t string, d string")
-    got = [r.x for r in long.select(X.analysis_input_text(F.col("t"), F.col("d")).alias("x")).collect()]
+    got = [r.x for r in long.select(X.analysis_input_text(F.col("t"), F.col("d"), X.MAX_INPUT_DESCRIPTION).alias("x")).collect()]
     assert len(got[0]) == len("TITLE:\nt\n\nDESCRIPTION:\n") + 10_000 and got[1].endswith("(no description provided)")

@@ -182,3 +182,41 @@ def test_page_stop_misses_an_old_gap(spark):
     stored = spark.createDataFrame([("o", v) for v in ("v01", "v10", "v11")], "owner_id string, item_id string")
     assert {r.item_id for r in W.new_ids_until_known_page(listed, stored).collect()} == {"v00"}
     assert {r.item_id for r in W.new_ids(listed, stored, ["item_id"]).collect()} == {"v00", "v20", "v21"}
+
+
+def test_percent_rank_without_metric_or_owner(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "a", None), (4, None, 5.0), (5, None, 6.0), (6, "b", None)], "id int, o string, v double")
+    got = {r.id: r.percentile for r in O.performance_percentile(df, "o", "v").collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: None, 4: 0.0, 5: 1.0, 6: None}
+
+
+def test_progress_sets_updates_add_and_start_resets(spark):
+    t = [dt.datetime(2024, 1, 1, h) for h in range(8)]
+    log = [
+        ("a", t[0], 0, "progress", 10), ("a", t[1], 1, "update", 5), ("a", t[2], 2, "progress", 40),
+        ("b", t[0], 0, "progress", 7), ("b", t[1], 1, "failed", None), ("b", t[2], 2, "start", None), ("b", t[3], 3, "update", 2), ("b", t[4], 4, "update", 3), ("b", t[5], 5, "failed", None),
+    ]
+    rows = spark.createDataFrame(log, "owner_id string, ts timestamp, seq int, event string, n int")
+    got = {r.owner_id: (r.status, r.items_processed, r.retry_count, r.update_new_items) for r in O.progress_fold(rows).collect()}
+    assert got == {"a": ("in_progress", 40, 0, 5), "b": ("failed", 5, 1, 3)}
+
+
+def test_null_clears_a_present_field(spark):
+    old = spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "id int, subscribers int, name string")
+    new = spark.createDataFrame([(1, None, None)], "id int, subscribers int, name string")
+    got = {r.id: (r.subscribers, r.name) for r in K.upsert(old, new, ["id"], present=["subscribers"]).collect()}
+    assert got == {1: (None, "x"), 2: (6, "y")}
+    assert {r.id: r.subscribers for r in K.upsert(old, new, ["id"]).collect()} == {1: 5, 2: 6}
+
+
+def test_duplicate_records_are_settled_alike_at_any_layout(spark):
+    rows = [(1, 1, f"copy {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "id int, v int, t string")
+    assert len({K.newest_per_key(df.repartition(n), ["id"], ["v"]).first().t for n in (1, 2, 3, 7)}) == 1
+
+
+def test_owners_without_a_handle_are_unmatched(spark):
+    flags = spark.createDataFrame([("h1", True, "c", 1), ("h9", True, "c", 1)], "handle string, analyze_enabled boolean, category string, ord int")
+    owners = spark.createDataFrame([("a", "@H1", None, None), ("b", None, None, None), ("c", "", True, "k")], "owner_id string, custom_url string, analyze_enabled boolean, category string")
+    got = sorted((str(r.owner_id), r.status) for r in O.flag_sync(flags, owners).collect())
+    assert got == [("None", "unmatched_flag"), ("a", "updated"), ("b", "unmatched_owner"), ("c", "unmatched_owner")]
