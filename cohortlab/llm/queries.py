@@ -95,7 +95,7 @@ def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quote_links")
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = quote_links.threads(table(spark, sf_dir, "conversations"))
-    return told.drop("text", "role").withColumn("text_sha256", F.sha2(told["text"], 256))
+    return told.withColumn("text_sha256", F.sha2("text", 256)).drop("text", "role")
 
 
 @query("op9_pii_boost")
