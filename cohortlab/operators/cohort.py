@@ -128,9 +128,10 @@ def has_value(value: Column, dtype: T.DataType) -> Column:
     return value.isNotNull()
 
 
-def with_document(df: DataFrame, doc: str) -> DataFrame:
-    """Rows whose document holds at least one value; an empty object counts as none."""
-    return df.filter(has_value(F.col(doc), df.schema[doc].dataType))
+def with_document(df: DataFrame, doc: str, predicate: Column | None = None) -> DataFrame:
+    """Rows whose document holds at least one value (an empty object counts as none) and meets the caller's predicate."""
+    kept = has_value(F.col(doc), df.schema[doc].dataType)
+    return df.filter(kept if predicate is None else kept & predicate)
 
 
 def required_fields_report(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -106,6 +106,14 @@ def keyword_stats(
     )
 
 
+def keyword_summary(
+    df: DataFrame, metric: str, primary: str, secondary_text: str | None = None, secondary_list: str | None = None
+) -> DataFrame:
+    """Number of different keywords of rows with a positive metric, rare ones included."""
+    words = keyword_rows(df, metric, primary, secondary_text, secondary_list).select("keyword").distinct()
+    return words.agg(F.count(F.lit(1)).alias("total_keywords"))
+
+
 def keyword_gaps(stats: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
     return stats.orderBy(F.desc("multiplier"), "keyword").limit(n)
 

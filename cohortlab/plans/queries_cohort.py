@@ -504,6 +504,12 @@ def keyword_gaps(spark, sf):
     return G.keyword_gaps(G.keyword_stats(topic_cohort(spark, sf), "vps", "primary_keyword", "secondary_keywords"))
 
 
+@query("keyword_summary", f"{T_SQL},{KEYWORD_SQL} SELECT count(DISTINCT keyword) AS total_keywords FROM words")
+def keyword_summary(spark, sf):
+    """Number of keywords seen, gap or not."""
+    return G.keyword_summary(topic_cohort(spark, sf), "vps", "primary_keyword", "secondary_keywords")
+
+
 FORMAT_ROWS_SQL = f"""
 flags AS ({" UNION ALL ".join(f"SELECT '{n}' AS format, vps FROM cohort WHERE vps > 0 AND ({c})" for n, c in D.FORMAT_SQL.items())}),
 ftot AS (SELECT count(*) AS total, avg(vps) FILTER (WHERE vps > 0) AS mean FROM cohort),

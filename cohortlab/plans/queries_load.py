@@ -241,16 +241,20 @@ def category_name(spark, sf):
 @query(
     "media_urls_and_ids",
     f"""SELECT o_orderkey, 'https://img.youtube.com/vi/' || {ITEM.format("o_orderkey")} || '/mqdefault.jpg' AS image, {OWNER.format("o_custkey")} || '_' || {ITEM.format("o_orderkey")} || '_thumbnail' AS key,
-  {OWNER.format("o_custkey")} AS owner_id, {ITEM.format("o_orderkey")} AS item_id, 'batches_' || o_orderkey AS job_id, true AS owner_ok, true AS item_ok, o_orderkey < 100000000 AS job_ok FROM orders""",
+  {OWNER.format("o_custkey")} AS owner_id, {ITEM.format("o_orderkey")} AS item_id, 'batches_' || o_orderkey AS job_id, o_orderkey % 5 > 0 AS owner_ok, o_orderkey % 7 > 0 AS item_ok, o_orderkey % 3 > 0 AS job_ok FROM orders""",
 )
 def media_urls_and_ids(spark, sf):
     """Ids, keys and their checks round trip."""
     owner, item = D.owner_code(F.col("o_custkey")), D.item_code(F.col("o_orderkey"))
     key = M.request_key(owner, item, F.lit("thumbnail"))
-    name = F.concat(F.lit("batches/"), F.col("o_orderkey").cast("string"))
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("batches/"), k.cast("string"))
     return D.table(spark, sf, "orders").select(
         "o_orderkey", M.thumbnail_url(item).alias("image"), key.alias("key"), M.parse_request_key(key, "thumbnail").alias("p"), M.job_id(name).alias("job_id"),
-        M.is_owner_id(owner).alias("owner_ok"), M.is_item_id(item).alias("item_ok"), M.is_job_name(M.job_id(name)).alias("job_ok"),
+        # some ids are spoilt: too short, with a sign that no id has, a name that is no job
+        M.is_owner_id(F.when(k % 5 > 0, owner).otherwise(F.substring(owner, 1, 23))).alias("owner_ok"),
+        M.is_item_id(F.when(k % 7 > 0, item).otherwise(F.concat(F.substring(item, 1, 10), F.lit("!")))).alias("item_ok"),
+        M.is_job_name(F.when(k % 3 > 0, M.job_id(name)).otherwise(F.concat(name, F.lit(" ")))).alias("job_ok"),
     ).select("*", "p.*").drop("p")
 
 
@@ -331,6 +335,13 @@ def equality_filtered_scan(spark, sf):
     return B.where_equal(D.table(spark, sf, "documents"), lang="en").select("doc_id", "source")
 
 
+@query("predicate_scan", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND (n_chars > 1000 OR source = 'src1')")
+def predicate_scan(spark, sf):
+    """equality and a predicate of the caller's, both in the scan."""
+    docs = D.table(spark, sf, "documents")
+    return B.where_equal(docs, (F.col("n_chars") > 1000) | (F.col("source") == "src1"), lang="en").select("doc_id", "source")
+
+
 @query("children_of_owner", "SELECT o_orderkey AS item_id, o_totalprice AS views FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)")
 def children_of_owner(spark, sf):
     """Rows of one parent (the one with the greatest key)."""
@@ -419,6 +430,12 @@ def upsert_merge(spark, sf):
     return K.upsert(*old_and_new(spark, sf), ["item_id"])
 
 
+@query("upsert_present_null", f"{MERGE_SQL} SELECT coalesce(o.item_id, n.item_id) AS item_id, owner_id, CASE WHEN n.item_id IS NULL THEN o.status ELSE n.status END AS status, coalesce(n.views, o.views) AS views FROM old o FULL JOIN new n ON o.item_id = n.item_id")
+def upsert_present_null(spark, sf):
+    """A null clears a field that every record carries."""
+    return K.upsert(*old_and_new(spark, sf), ["item_id"], present=["status"])
+
+
 @query("stats_only_update", f"{MERGE_SQL} SELECT coalesce(o.item_id, n.item_id) AS item_id, owner_id, o.status, coalesce(n.views, o.views) AS views FROM old o FULL JOIN new n ON o.item_id = n.item_id")
 def stats_only_update(spark, sf):
     """Only the statistics columns are written."""
@@ -438,14 +455,16 @@ def delete_by_key(spark, sf):
     return K.delete_keys(old, new, ["item_id"])
 
 
-@query("delete_all", "SELECT count(*) AS n FROM orders WHERE false")
+@query("delete_all", "SELECT count(*) FILTER (WHERE o_orderkey % 3 > 0) AS n_before, CAST(0 AS BIGINT) AS n_after FROM orders")
 def delete_all(spark, sf):
-    """Truncate a stored copy and count what is left."""
+    """Truncate a stored copy; rows before and after."""
     path = stage_path(spark, "truncated")
     old = old_and_new(spark, sf)[0]
     old.write.parquet(path)
+    before = spark.read.schema(old.schema).parquet(path).count()
     K.truncate(old, path)
-    return spark.read.schema(old.schema).parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    left = spark.read.schema(old.schema).parquet(path).agg(F.count(F.lit(1)).alias("n_after"))
+    return left.select(F.lit(before).cast("long").alias("n_before"), "n_after")
 
 
 @query(

@@ -177,9 +177,7 @@ def latest_prepared_file(spark, sf):
     rows = pending_requests(spark, sf).filter(F.col("reject").isNull())
     for day, part in (("20240101", rows.filter("item_id % 2 = 0")), ("20240102", rows)):
         K.write_json_lines(part.select(F.col("request").alias("line")), f"{root}/batch_title_description_{day}_000000", "line")
-    # Spark writes a folder per prepared file: the part files of the newest one count together
-    text = spark.read.text(f"{root}/*").select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("file"))
-    return text.groupBy("file").agg(F.count(F.lit(1)).alias("n_requests")).orderBy(F.desc("file")).limit(1)
+    return R.latest_prepared(spark, f"{root}/*")
 
 
 @query(
@@ -446,7 +444,7 @@ def progress_summary(spark, sf):
 
 @query(
     "owners_to_process",
-    f"""WITH {PROGRESS_SQL} SELECT c_custkey AS owner_id, CASE WHEN status IS NULL THEN 'start' WHEN status = 'completed' THEN 'completed' WHEN status = 'in_progress' THEN 'resume' WHEN status = 'failed' AND retry_count < 3 THEN 'resume' END AS action
+    f"""WITH {PROGRESS_SQL} SELECT c_custkey AS owner_id, CASE WHEN status IS NULL THEN 'start' WHEN status = 'completed' THEN 'completed' WHEN status IN ('in_progress', 'pending') THEN 'resume' WHEN status = 'failed' AND retry_count < 3 THEN 'resume' END AS action
 FROM customer LEFT JOIN progress ON owner_id = c_custkey""",
 )
 def owners_to_process(spark, sf):
@@ -504,13 +502,14 @@ def quota_used_today(spark, sf):
 
 @query(
     "quota_ledger",
-    """WITH l AS (SELECT event_id, CAST(user_id % 5 AS BIGINT) AS cost FROM events), r AS (SELECT event_id, CAST(sum(cost) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
+    """WITH l AS (SELECT event_id, CAST(user_id % 5 AS BIGINT) AS cost, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%Y-%m-%d') AS day FROM events),
+r AS (SELECT event_id, CAST(sum(cost) OVER (PARTITION BY day ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
 SELECT event_id, used, greatest(0, 10000 - used) AS remaining, 10000 - used <= 500 AS is_low FROM r""",
 )
 def quota_ledger(spark, sf):
-    """Running use in call order."""
-    calls = D.events(spark, sf).select("event_id", (F.col("user_id") % 5).alias("cost"))
-    return O.quota_ledger(calls, ["event_id"]).select("event_id", "used", "remaining", "is_low")
+    """Running use in call order, from 0 on each Pacific day."""
+    calls = D.events(spark, sf).select("event_id", (F.col("user_id") % 5).alias("cost"), M.local_date(F.col("ts")).alias("day"))
+    return O.quota_ledger(calls, ["event_id"], keys=["day"]).select("event_id", "used", "remaining", "is_low")
 
 
 # --- flags, images, order, owner statistics ------------------------------------------------------

@@ -144,6 +144,10 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_prepared(spark: SparkSession, path: str) -> DataFrame:
-    """Newest prepared file by name and its number of requests."""
-    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_requests"))
+    """Newest prepared batch by name and its number of requests.
+
+    A batch is a folder; its part files count together.
+    """
+    folder = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    files = spark.read.text(path).select(folder.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_requests"))
     return files.orderBy(F.desc("file")).limit(1)

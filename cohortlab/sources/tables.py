@@ -29,8 +29,10 @@ def exists_flag(keys: DataFrame, df: DataFrame, on: Sequence[str]) -> DataFrame:
     return keys.join(stored, list(on), "left").withColumn("exists", F.col("_hit").isNotNull()).drop("_hit")
 
 
-def where_equal(df: DataFrame, **values) -> DataFrame:
-    """Equality filters; rows without the field are left out."""
+def where_equal(df: DataFrame, *predicates: Column, **values) -> DataFrame:
+    """Equality filters and the caller's own predicates; rows without the field are left out."""
+    for predicate in predicates:
+        df = df.filter(predicate)
     for name, value in values.items():
         df = df.filter(F.col(name) == value)
     return df
