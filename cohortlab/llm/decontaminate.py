@@ -205,7 +205,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share
 
     A document of which more than ``drop_share`` of the words are hit is
     removed; clean documents pass unchanged. ``n_chars``, if there, follows
-    the new text.
+    a changed text.
     """
     both = scan(docs.withColumn("_scan_text", F.col(text)), benchmark, text="_scan_text", prefix="_scan_")
     schema = docs.schema
@@ -213,14 +213,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            words = batch.column(batch.num_columns - 1)
-            if not any(map(len, words.to_pylist())):
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-                continue
-            texts = [cut(t, w) if w else t for t, w in zip(batch.column(at).to_pylist(), words.to_pylist(), strict=True)]
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    out = arrow(kept, run, schema)
-    return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+            names, columns = batch.schema.names[:-1], batch.columns[:-1]
+            words = batch.column(batch.num_columns - 1).to_pylist()
+            if any(words):
+                at = names.index(text)
+                texts = [cut(t, w) if w else t for t, w in zip(columns[at].to_pylist(), words, strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+                if "n_chars" in names:
+                    n = columns[names.index("n_chars")]
+                    new = [len(t) if w else k for t, w, k in zip(texts, words, n.to_pylist(), strict=True)]
+                    columns[names.index("n_chars")] = pa.array(new, n.type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return arrow(kept, run, schema)
