@@ -2,7 +2,7 @@
 
 Every query is drained into the no-op sink, after one untimed query that warms
 up the session. ``queries`` holds the last run of each, ``first`` the first;
-BENCH_RUNS (default 1) sets the runs. BENCH_ALL=1 runs every registered query.
+BENCH_RUNS (default 2) sets the runs. BENCH_ALL=1 runs every registered query.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=8)
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     drain(QUERIES["engagement_metrics"](spark, sf))
     last, first = {}, {}
     for name in names:

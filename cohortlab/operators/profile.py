@@ -4,8 +4,9 @@ Input: one row per item with the group column, a boolean ``is_top`` column,
 optionally a weight column, and a typed document struct. The kind of each leaf
 comes from the schema, so booleans and numbers are aggregated as wide columns
 in one pass (no row multiplication) and only strings and lists are exploded.
-Before strings are exploded a sketch pass drops free-text leaves, whose values
-would otherwise all be shuffled just to be thrown away.
+Before strings are exploded a pass of constant size drops leaves that surely have
+too many values (free text), which would otherwise all be shuffled just to be
+thrown away. It never drops a leaf within the limits.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from cohortlab.scale import lookup_join
 MAX_CATEGORIES = 20
 MAX_LIST_ITEMS = 50
 TOP_LIST_ITEMS = 15
-SKETCH_SLACK = 3  # sketch estimate above slack * limit is safely over the limit
 
 
 def _tidy(wide: DataFrame, group: str, found: list[Leaf], fields: list[str]) -> DataFrame:
@@ -90,25 +90,36 @@ def numeric_profile(
     )
 
 
-def _kept_paths(estimates: DataFrame, group: str, limit: int) -> DataFrame:
-    """(group, paths): leaves whose distinct-value sketch may be in limits."""
+def surely_distinct(value: Column) -> Column:
+    """A count that the number of distinct values is never below: marked hash classes of 64.
+
+    Free text marks nearly all of them. One long per leaf, combined map-side.
+    """
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(value), F.lit(64)).cast("int"))
+    return F.bit_count(F.coalesce(F.bit_or(F.when(value.isNotNull(), mark)), F.lit(0).cast("long")))
+
+
+def _kept_paths(evidence: DataFrame, group: str, limit: int) -> DataFrame:
+    """(group, paths): leaves not known to have more than ``limit`` values."""
     return (
-        estimates.filter(F.col("n_distinct") <= SKETCH_SLACK * limit)
+        evidence.filter(F.col("n_distinct") <= limit)
         .groupBy(group)
         .agg(F.collect_set("path").alias("_paths"))  # at most one entry per schema leaf
     )
 
 
-def categorical_profile(df: DataFrame, doc: str, group: str = "content_type", top: str = "is_top") -> DataFrame:
+def categorical_profile(
+    df: DataFrame, doc: str, group: str = "content_type", top: str = "is_top", most: int = MAX_CATEGORIES
+) -> DataFrame:
     """Value shares of string leaves with at most 20 distinct values.
 
     Empty strings stay in the denominator but are not reported.
     """
     found = doc_leaves(df.schema, doc, "str")
     sketch = df.groupBy(group).agg(
-        *[F.approx_count_distinct(leaf.column(doc)).alias(f"n_distinct_{i}") for i, leaf in enumerate(found)]
+        *[surely_distinct(leaf.column(doc)).alias(f"n_distinct_{i}") for i, leaf in enumerate(found)]
     )
-    kept = _kept_paths(_tidy(sketch, group, found, ["n_distinct"]), group, MAX_CATEGORIES)
+    kept = _kept_paths(_tidy(sketch, group, found, ["n_distinct"]), group, most)
     pairs = F.array(
         *[F.struct(F.lit(leaf.path).alias("path"), leaf.column(doc).alias("value")) for leaf in found]
     )
@@ -123,7 +134,7 @@ def categorical_profile(df: DataFrame, doc: str, group: str = "content_type", to
         .groupBy(group, F.col("_p.path").alias("path"), F.col("_p.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("c_all"), F.count_if(F.col(top)).alias("c_top"))
     )
-    # few values per leaf survive the sketch, so this window is small
+    # few values per leaf survive the evidence, so this window is small
     leaf_rows = Window.partitionBy(group, "path")
     totals = counts.select(
         "*",
@@ -131,7 +142,7 @@ def categorical_profile(df: DataFrame, doc: str, group: str = "content_type", to
         F.sum("c_all").over(leaf_rows).alias("n_all"),
         F.sum("c_top").over(leaf_rows).alias("n_top"),
     )
-    return totals.filter((F.col("_distinct") <= MAX_CATEGORIES) & (F.col("value") != "")).select(
+    return totals.filter((F.col("_distinct") <= most) & (F.col("value") != "")).select(
         group, "path", safe_key(F.col("value")).alias("value"), "n_all", "n_top",
         F.round(F.col("c_all") / F.col("n_all"), 3).alias("all_share"),
         F.round(F.coalesce(F.try_divide("c_top", "n_top"), F.lit(0.0)), 3).alias("top_share"),
@@ -161,7 +172,9 @@ def list_profile(df: DataFrame, doc: str, group: str = "content_type", top: str
     )
 
 
-def list_items(df: DataFrame, doc: str, group: str = "content_type", top: str = "is_top") -> DataFrame:
+def list_items(
+    df: DataFrame, doc: str, group: str = "content_type", top: str = "is_top", most: int = MAX_LIST_ITEMS, n: int = TOP_LIST_ITEMS
+) -> DataFrame:
     """The 15 most common items of string lists with at most 50 distinct items.
 
     Rates are per row that has the list; repeats within a row count again.
@@ -178,11 +191,11 @@ def list_items(df: DataFrame, doc: str, group: str = "content_type", top: str =
             .filter(F.col("item").isNotNull())
         )
 
-    estimates = (
+    evidence = (
         items_of(long, lambda p: F.lit(True)).groupBy(group, "path")
-        .agg(F.approx_count_distinct("item").alias("n_distinct"))
+        .agg(surely_distinct(F.col("item")).alias("n_distinct"))
     )
-    kept = _kept_paths(estimates, group, MAX_LIST_ITEMS)
+    kept = _kept_paths(evidence, group, most)
     counts = (
         items_of(lookup_join(long, kept, [group]), lambda p: F.array_contains("_paths", p["path"]))
         .groupBy(group, "path", "item")
@@ -193,7 +206,7 @@ def list_items(df: DataFrame, doc: str, group: str = "content_type", top: str =
         "*",
         F.count(F.lit(1)).over(leaf_rows).alias("_distinct"),
         F.row_number().over(leaf_rows.orderBy(F.desc("c_all"), "item")).alias("rank"),
-    ).filter((F.col("_distinct") <= MAX_LIST_ITEMS) & (F.col("rank") <= TOP_LIST_ITEMS) & (F.col("item") != ""))
+    ).filter((F.col("_distinct") <= most) & (F.col("rank") <= n) & (F.col("item") != ""))
     lengths = list_profile(df, doc, group, top).select(group, "path", "n_all", "n_top")
     return lookup_join(ranked, lengths, [group, "path"]).select(
         group, "path", safe_key(F.col("item")).alias("item"), "rank", "n_all", "n_top",

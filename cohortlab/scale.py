@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Most rows a side may have to be shipped to every executor. The side is
 # counted with a bounded read; above it the join is an ordinary shuffled one.
 LOOKUP_ROWS = 20_000
+# And most bytes, as rows with arrays or texts can be large.
+LOOKUP_BYTES = 8 << 20
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -68,7 +70,7 @@ def lookup_join(
     adaptive skew handling splits hot keys.
     """
     head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= LOOKUP_BYTES:
         side = small.sparkSession.createDataFrame(head, schema=small.schema)
         return big.join(F.broadcast(side), list(on), how)
     return big.join(small, list(on), how)
@@ -80,7 +82,7 @@ def settle(small: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     Up to ``max_rows`` rows become a local relation, a larger table is staged.
     """
     head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= LOOKUP_BYTES:
         return small.sparkSession.createDataFrame(head, schema=small.schema)
     return stage(small, "settled")
 
