@@ -26,7 +26,7 @@ SIMPLE_EMOJI = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}"
 )
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\p{Z}"
+SPACE = r"\s\p{Z}\x1C-\x1F\x85"
 PLAIN_MARKS = r""",.!?'"\-:;|/()\[\]{}#@&+=*"""
 QUESTION = r"[?？]"
 HASHTAG = rf"#[{WORD}{TELUGU}]+"

@@ -149,8 +149,3 @@ def required_fields_report(df: DataFrame, fields: Sequence[str]) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*")
-
-
-def default_metric() -> Column:
-    """Metric used when a caller passes none: views per subscriber."""
-    return M.stored_or_computed_vps(F.col("stored_vps"), F.col("views"), F.col("subscribers"))

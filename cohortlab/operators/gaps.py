@@ -6,7 +6,6 @@ a positive metric.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +141,3 @@ def format_stats(df: DataFrame, metric: str, flags: dict[str, Column]) -> DataFr
 def insights_summary(df: DataFrame, metric: str, group: str = "content_type") -> DataFrame:
     """Count and mean metric per group with the grand total (null group)."""
     return df.rollup(group).agg(F.count(F.lit(1)).alias("n_items"), steady_round(F.avg(metric), 2).alias("avg_vps"))
-
-
-def flag_columns(prefix: str, names: Sequence[str] = FORMATS) -> dict[str, Column]:
-    """Format flags of a document: 'recipe' reads ``{prefix}.isRecipe``."""
-    return {name: F.col(f"{prefix}.is{name.capitalize()}") for name in names}

@@ -5,7 +5,6 @@ CONFIG = (
     "settings STRUCT<maxVideosPerChannel: INT, includeShorts: BOOLEAN, includePrivate: BOOLEAN, "
     "skipShortThumbnails: BOOLEAN>"
 )
-FLAG_COLUMNS = ["analyze", "channel name", "link", "category"]
 
 RAW_OWNER = """
 id STRING,

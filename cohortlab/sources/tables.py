@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if limit is None else df.limit(limit)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def children_of(df: DataFrame, owner: str, owner_id) -> DataFrame:

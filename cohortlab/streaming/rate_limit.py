@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cohortlab.operators.rate_limit import MAX_REQUESTS, WINDOW_MS
+from cohortlab.operators.rate_limit import MAX_REQUESTS, NO_KEY, WINDOW_MS
 
 OUTPUT = "key string, seq long, ms long, window_start long, allowed boolean, remaining long"
 STATE = "window_start long, used long"
@@ -41,7 +41,7 @@ def rate_limit_stream(
     one key in one micro-batch are sorted in memory.
     """
     rows = requests.select(
-        F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), F.col(seq).cast("long").alias("seq")
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), F.col(ms).cast("long").alias("ms"), F.col(seq).cast("long").alias("seq")
     )
     return rows.groupBy("key").applyInPandasWithState(
         _admit(max_requests, window_ms), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
