@@ -241,7 +241,12 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
     s, right = score[test][order], np.cumsum(y[test][order])
     last = np.concatenate([s[1:] != s[:-1], [True]])  # equal scores are selected together
     good = np.flatnonzero(last & (right / np.arange(1, len(s) + 1) >= PRECISION))
-    model.threshold = float(s[good[-1]]) - 1e-9 if len(good) else float("inf")
+    if not len(good):
+        model.threshold = float("inf")
+    else:
+        # half way to the next lower score, so a proposal slightly unlike the sample's is still taken
+        k = int(good[-1])
+        model.threshold = float(s[k] + s[k + 1]) / 2 if k + 1 < len(s) else float(s[k]) - 1e-9
     return model
 
 

@@ -46,7 +46,9 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return pb.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    secret = F.concat(F.lit("the password="), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 18), F.lit(" and more"))
+    return pb.fit(docs.unionByName(spark.range(300).select((F.col("id") + 1_000_000).alias("doc_id"), secret.alias("text"))))
 
 
 def test_base_spans_against_brute_force(documents, model):
