@@ -42,11 +42,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
 SECRET = (
-    r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x20\"']{0,3}[=:][\x20\"']{0,3}[^\s\"',;]{4,256}+"
+    r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x20\"']{0,3}[=:][\x20\"']{0,3}[^\s\"',;]{4,}+"
 )
 TOKEN = r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+"
 NUMBER = r"(?<![0-9])[0-9][0-9\x20().-]{6,40}[0-9]"
-DISGUISED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9.-]{1,255}+"
+DISGUISED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9.-]++"
 MORE = (("secret", SECRET), ("token", TOKEN), ("number", NUMBER), ("disguised", DISGUISED))
 KEYWORDS = r"(?i)(?:password|passwd|pwd|secret|token|key|auth|phone|tel|call|mail|card|account|iban|ssn)"
 
@@ -283,12 +283,41 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def with_secrets(text: Column, good: Column) -> Column:
+    """Selected spans of a text, where each run of overlapping spans with a secret in it is one secret from its first to its last character."""
+    places = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["kind"] == "secret").alias("secret")))
+
+    def put(acc: Column, s: Column) -> Column:
+        def grown(last: Column) -> Column:
+            return F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["secret"] | s["secret"]).alias("secret"))
+
+        last = F.try_element_at(acc, F.lit(-1))
+        over = F.coalesce(s["start"] < last["end"], F.lit(False))
+        return F.when(over, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown(last)))).otherwise(F.concat(acc, F.array(s)))
+
+    runs = F.aggregate(F.array_sort(places), F.array().cast("array<struct<start:bigint,end:bigint,secret:boolean>>"), put)
+
+    def whole(r: Column) -> Column:
+        cut = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
+        begin = F.greatest(r["start"] - CONTEXT, F.lit(0))
+        return F.struct(
+            F.lit("secret").alias("kind"), r["start"].alias("start"), r["end"].alias("end"), cut(r["start"], r["end"]).alias("value"),
+            cut(begin, r["start"]).alias("before"), cut(r["end"], r["end"] + CONTEXT).alias("after"),
+        )
+
+    def joined_by(secrets: Column) -> Column:
+        alone = F.filter(good, lambda s: ~F.exists(secrets, lambda r: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+        return F.concat(F.transform(secrets, whole), alone)
+
+    return let(F.filter(runs, lambda r: r["secret"]), joined_by)
+
+
 def detect(docs: DataFrame, model: Model, text: str = "text", out: str = "pii") -> DataFrame:
     """Add ``out``: (base, added), arrays of spans (kind, start, end, value, before, after).
 
     Base spans are all there. A proposal is added if its score reaches the
-    threshold and it overlaps no base span; a token inside an added secret
-    goes with it. Null and empty texts have no spans. A column named ``out`` is replaced.
+    threshold and it overlaps no base span; added spans that overlap a secret
+    become one span with it. Null and empty texts have no spans. A column named ``out`` is replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     with_base = docs.withColumn(out, F.struct(base_spans(whole).alias("base"), proposals(whole).alias("near")))
@@ -300,7 +329,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text", out: str = "pii")
         return ~F.exists(F.col(out)["base"], lambda b: over(s, b))
 
     good = F.filter(F.col(out)["near"], lambda s: free(s) & let(features(s), lambda x: margin(model, x) >= F.lit(model.threshold)))
-    kept = let(good, lambda g: F.filter(g, lambda s: (s["kind"] == "secret") | ~F.exists(g, lambda t: (t["kind"] == "secret") & over(s, t))))
+    kept = F.when(F.exists(good, lambda s: s["kind"] == "secret"), let(good, lambda g: with_secrets(whole, g))).otherwise(good)
     added = kept if model.trees else F.slice(F.col(out)["near"], 1, 0)
     return with_base.withColumn(out, F.struct(F.col(out)["base"].alias("base"), added.alias("added")))
 
