@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, pii_boost, quality_nbsvm, quote_links, token_store
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, merkle, pii_boost, quality_nbsvm, quote_links, token_store
 from cohortlab.llm.common import held_out, sized, stage, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -102,3 +102,65 @@ def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii_boost.report(docs, pii_boost.fit(docs))
+
+
+@query("op12_merkle_manifest", """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) AS r(i)
+), fields AS (
+  SELECT doc_id, lang, n_chars,
+    [CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END FOR v IN [CAST(doc_id AS VARCHAR), source, lang]] AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body,
+    list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)) AS digits
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(array_to_string(head, '') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || body) AS leaf,
+    CASE WHEN n_chars IS NOT NULL
+        AND xor(list_reduce(list_prepend(4294967295, digits), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0
+      THEN sha256(array_to_string(head, '') || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || body) END AS changed
+  FROM fields, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS lev, pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT lang, lev + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lev, pos // 2, n
+), subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), top AS (
+  SELECT 0 AS lev, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lev, pos // 2, n
+), heights AS (SELECT DISTINCT lang, lev FROM nodes WHERE n > 1), top_heights AS (SELECT DISTINCT lev FROM top WHERE n > 1),
+below AS (
+  SELECT l.lang, l.pos, h.lev, (l.pos >> h.lev) % 2 AS odd, s.digest AS other
+  FROM leaves AS l JOIN heights AS h ON l.lang IS NOT DISTINCT FROM h.lang
+  LEFT JOIN nodes AS s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lev = h.lev AND s.pos = xor(l.pos >> h.lev, 1)
+), above AS (
+  SELECT r.lang, 1000 + h.lev AS lev, (r.pos >> h.lev) % 2 AS odd, s.digest AS other
+  FROM subroots AS r CROSS JOIN top_heights AS h LEFT JOIN top AS s ON s.lev = h.lev AND s.pos = xor(r.pos >> h.lev, 1)
+), path AS (
+  SELECT lang, pos, list(CASE WHEN other IS NULL THEN '-' WHEN odd = 1 THEN 'L' || other ELSE 'R' || other END ORDER BY lev) AS steps
+  FROM (SELECT * FROM below UNION ALL SELECT l.lang, l.pos, a.lev, a.odd, a.other FROM leaves AS l JOIN above AS a ON l.lang IS NOT DISTINCT FROM a.lang)
+  GROUP BY lang, pos
+), proven AS (
+  SELECT l.doc_id, l.leaf, r.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+    sha256(array_to_string([s[2:] FOR s IN coalesce(p.steps, [])], '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(l.changed, l.leaf), coalesce(p.steps, [])), lambda d, s: CASE s[1]
+      WHEN 'L' THEN sha256(s[2:] || d) WHEN 'R' THEN sha256(d || s[2:]) ELSE sha256(d) END) AS folded_root
+  FROM leaves AS l JOIN subroots AS r ON l.lang IS NOT DISTINCT FROM r.lang
+  LEFT JOIN path AS p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM proven
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf(["doc_id", "source", "lang", F.col("n_chars") + 1, "text"])
+    found = merkle.manifest(docs.withColumn("_changed", F.when(tampered & F.col("n_chars").isNotNull(), changed)), carry=["_changed"])
+    found = merkle.fold(found.withColumn("_claimed", F.coalesce("_changed", "leaf")), "_claimed")
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
