@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, merkle, pii_boost, quality_nbsvm, quote_links, token_store, twins, vector_codes
+from cohortlab.llm import adaptive_rules, byte_bpe, decontaminate, fuzzy_lines, jaccard_join, language_id, merkle, packing, pii_boost, quality_nbsvm, quote_links, token_store, twins, vector_codes
 from cohortlab.llm.common import held_out, sized, stage, table
 from cohortlab.llm.registry import ORACLES, QUERIES, query
 
@@ -169,3 +169,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_vector_codes", twins.vector_codes())
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))[1]
