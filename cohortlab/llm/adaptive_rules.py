@@ -48,7 +48,7 @@ SYMBOLS = b"#*$%&|<>"
 
 
 def byte_class(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     out[list(chars)] = 1
     return out
 
@@ -58,18 +58,20 @@ SYMBOL = byte_class(SYMBOLS)
 DIGIT = byte_class(b"0123456789")
 UPPER = byte_class(bytes(range(65, 91)))
 LETTER = byte_class(bytes(range(65, 91)) + bytes(range(97, 123)))
-POINT = np.array([0 if 0x80 <= i < 0xC0 else 1 for i in range(256)], np.int64)
+POINT = np.array([0 if 0x80 <= i < 0xC0 else 1 for i in range(256)], np.uint8)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound; long words are not remembered."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 200_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -93,7 +95,15 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     n_words = np.array([len(w) for w in split], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
-    of = lambda kind: per_document(kind[data], ends)
+    filled = ends[1:] > ends[:-1]
+
+    def of(kind: np.ndarray) -> np.ndarray:
+        """Bytes of a class in each text: one byte of scratch per byte of text."""
+        out = np.zeros(len(raw), np.int64)
+        if filled.any():
+            out[filled] = np.add.reduceat(kind[data], ends[:-1][filled], dtype=np.int64)
+        return out
+
     points, spaces = of(POINT), of(SPACE)
 
     code = np.fromiter(map(word_hashes().__getitem__, (w for words in split for w in words)), np.uint64, int(n_words.sum()))
@@ -159,6 +169,7 @@ def score(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
                 [*(batch.column(i) for i in rest), *(pa.array(v, pa.int64()) for v in counts.values())],
                 names=[*(batch.schema.names[i] for i in rest), *names],
             )
+        word_hashes().clear()
 
     return arrow(docs, run, schema)
 

@@ -12,6 +12,8 @@ from cohortlab.scale import stage_path
 
 # Rows per Arrow batch handed to Python: some megabytes of ordinary texts.
 ARROW_ROWS = 512
+# Most bytes of a batch; a single longer text makes a batch of its own.
+ARROW_BYTES = 4 << 20
 
 # Most bytes of a side that may be sent to every executor. A side is staged
 # first, so its size is known; beyond the bound the join is shuffled.
@@ -23,9 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for very long texts."""
+    """``mapInArrow`` with batches bounded in rows and bytes, for very long texts.
+
+    Spark reads both settings when the plan runs, so they stay set in the
+    session. A worker that goes on to other tasks gives its buffers back.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
