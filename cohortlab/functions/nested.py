@@ -102,3 +102,40 @@ def tag_list(as_string: Column | None, as_array: Column | None = None) -> Column
     none = F.array().cast("array<string>")
     split = F.filter(F.transform(F.split(as_string, ","), lambda x: F.trim(x)), lambda x: x != "") if as_string is not None else None
     return F.coalesce(*[c for c in (as_array, split, none) if c is not None])
+
+
+# What the types of a declared leaf may look like in a parsed document.
+LEAF_SHAPES = {
+    "string": "STRING", "boolean": "BOOLEAN", "int": "(BIGINT|INT|SMALLINT|TINYINT)", "bigint": "(BIGINT|INT|SMALLINT|TINYINT)",
+    "double": r"(DOUBLE|FLOAT|BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,\s*\d+\))",
+}
+
+
+def _shape(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.ArrayType):
+        inner = "OBJECT<.*>" if isinstance(dtype.elementType, T.StructType) else LEAF_SHAPES[dtype.elementType.simpleString()]
+        return f"ARRAY<({inner}|VOID)>"
+    if isinstance(dtype, T.StructType):
+        return "OBJECT<.*>"
+    return LEAF_SHAPES[dtype.simpleString()]
+
+
+def bad_leaf(document: Column, schema: T.StructType) -> Column:
+    """Path of the first value of a JSON document that has another type than declared, null if there is none.
+
+    Missing and null values are fine, and so are names the schema does not know.
+    An object that should be one is named itself, not the leaves it lacks.
+    """
+    parsed = F.try_parse_json(document)
+
+    def checks(fields: T.StructType, path: str) -> list[Column]:
+        out = []
+        for f in fields.fields:
+            at = f"{path}.{f.name}"
+            seen = F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))
+            out.append(F.when((seen != "VOID") & ~seen.rlike(f"^{_shape(f.dataType)}$"), F.lit(at[2:])))
+            if isinstance(f.dataType, T.StructType):
+                out += checks(f.dataType, at)
+        return out
+
+    return F.get(F.array_compact(F.array(*checks(schema, "$"))), F.lit(0))

@@ -173,7 +173,8 @@ def import_results(
     """Status and reason per result; text features merged in where texts exist.
 
     ``texts`` has (owner_id, item_id, title, description). Without
-    ``doc_schema`` the document stays JSON and no features are merged.
+    ``doc_schema`` the document stays JSON and no features are merged. A row
+    with a ``bad_leaf`` (see ``nested.bad_leaf``) fails.
     """
     known = owners.select(F.col("owner_id")).distinct().withColumn("_known", F.lit(True))
     rows = parsed.join(known, "owner_id", "left")
@@ -183,6 +184,8 @@ def import_results(
         .when(F.col("_known").isNull(), "unknown_owner")
         .when(F.col("document").isNull(), "empty_document")
     )
+    if "bad_leaf" in parsed.columns:
+        reason = reason.when(F.col("bad_leaf").isNotNull(), "bad_leaf")
     rows = rows.withColumn("reason", reason).withColumn(
         "status",
         F.when(F.col("reason").isNull(), "imported").when(F.col("reason") == "parse_error", "parse_error").otherwise("failed"),

@@ -1,7 +1,7 @@
 """All registered queries (importing a module registers its queries)."""
 
 from cohortlab.plans import (  # noqa: F401
-    queries_cohort, queries_load, queries_recommend, queries_text, queries_work,
+    queries_cohort, queries_jobs, queries_load, queries_recommend, queries_text, queries_work,
 )
 from cohortlab.plans.registry import ORACLES, QUERIES
 

@@ -26,6 +26,11 @@ class LoadResult:
     image_work: DataFrame  # items whose image is to be fetched
 
 
+def record_columns(rows: DataFrame) -> list[str]:
+    """Fields that every landed record carries: one that is empty now clears the stored value."""
+    return [c for c in rows.columns if c not in KEYS]
+
+
 def _details(wanted: DataFrame, raw: DataFrame, owners: DataFrame, as_of: Column, include_shorts: bool):
     rows = item_rows(raw.join(wanted.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi"), owners, as_of)
     # staged: new table state, missing ids and image work all read these rows
@@ -55,7 +60,7 @@ def full_load(
         )
         work = work.join(marks, "owner_id", "left").filter(F.col("_at").isNull() | (place > F.col("_at"))).drop("_at")
     rows, missing = _details(work, raw, owners, as_of, include_shorts)
-    items = rows if stored is None else upsert(stored, rows, KEYS)
+    items = rows if stored is None else upsert(stored, rows, KEYS, present=record_columns(rows))
     return LoadResult(items, rows, missing, drop_shorts(rows, include_shorts=not skip_short_images))
 
 
@@ -67,7 +72,7 @@ def incremental_load(
     work = listed if completed is None else listed.join(completed.select("owner_id"), "owner_id", "left_semi")
     work = new_ids_until_known_page(work, stored)
     rows, missing = _details(work, raw, owners, as_of, include_shorts)
-    return LoadResult(upsert(stored, rows, KEYS), rows, missing, drop_shorts(rows, include_shorts=not skip_short_images))
+    return LoadResult(upsert(stored, rows, KEYS, present=record_columns(rows)), rows, missing, drop_shorts(rows, include_shorts=not skip_short_images))
 
 
 def stats_refresh(

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _merge_value(old: Column, new: Column, dtype: T.DataType) -> Column:
-    """New value where present; structs merge field by field."""
-    if isinstance(dtype, T.StructType):
-        merged = F.struct(
-            *[_merge_value(old.getField(f.name), new.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
-        )
-        return F.when(old.isNull() & new.isNull(), F.lit(None).cast(dtype)).otherwise(merged)
+def _merge_value(old: Column, new: Column, dtype: T.DataType, new_type: T.DataType | None = None) -> Column:
+    """New value where present; structs merge field by field, fields that one side has are kept."""
+    new_type = new_type or dtype
+    if isinstance(dtype, T.StructType) and isinstance(new_type, T.StructType):
+        theirs = {f.name: f.dataType for f in new_type.fields}
+        mine = {f.name for f in dtype.fields}
+        fields = [
+            _merge_value(old.getField(f.name), new.getField(f.name), f.dataType, theirs[f.name]) if f.name in theirs else old.getField(f.name)
+            for f in dtype.fields
+        ]
+        fields = [c.alias(f.name) for c, f in zip(fields, dtype.fields, strict=True)] + [new.getField(n).alias(n) for n in theirs if n not in mine]
+        return F.when(old.isNotNull() | new.isNotNull(), F.struct(*fields))
     return F.coalesce(new, old)
 
 
@@ -47,7 +52,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], present: Sequenc
         elif name in present:
             value = F.when(F.col("_n").isNull(), F.col(f"_o.{name}")).otherwise(F.col(f"_n.{name}"))
         else:
-            value = _merge_value(F.col(f"_o.{name}"), F.col(f"_n.{name}"), old.schema[name].dataType)
+            value = _merge_value(F.col(f"_o.{name}"), F.col(f"_n.{name}"), old.schema[name].dataType, new.schema[name].dataType)
         out.append(value.alias(name))
     return joined.select(*keys, *out)
 
@@ -65,7 +70,7 @@ def patch_existing(old: DataFrame, patch: DataFrame, keys: Sequence[str]) -> Dat
     for name in [c for c in old.columns if c not in keys]:
         value = F.col(f"_o.{name}")
         if name in patch.columns:
-            value = _merge_value(value, F.col(f"_n.{name}"), old.schema[name].dataType)
+            value = _merge_value(value, F.col(f"_n.{name}"), old.schema[name].dataType, patch.schema[name].dataType)
         out.append(value.alias(name))
     return joined.select(*keys, *out)
 
