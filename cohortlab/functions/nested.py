@@ -120,22 +120,22 @@ def _shape(dtype: T.DataType) -> str:
     return LEAF_SHAPES[dtype.simpleString()]
 
 
-def bad_leaf(document: Column, schema: T.StructType) -> Column:
-    """Path of the first value of a JSON document that has another type than declared, null if there is none.
+def bad_leaf(document: str, schema: T.StructType) -> Column:
+    """Path of the first value of a JSON column that has another type than declared, null if there is none.
 
     Missing and null values are fine, and so are names the schema does not know.
     An object that should be one is named itself, not the leaves it lacks.
+    The text is parsed once: the checks run on a lambda's variable.
     """
-    parsed = F.try_parse_json(document)
 
-    def checks(fields: T.StructType, path: str) -> list[Column]:
+    def checks(fields: T.StructType, path: str) -> list[str]:
         out = []
         for f in fields.fields:
             at = f"{path}.{f.name}"
-            seen = F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))
-            out.append(F.when((seen != "VOID") & ~seen.rlike(f"^{_shape(f.dataType)}$"), F.lit(at[2:])))
+            seen = f"schema_of_variant(try_variant_get(v, '{at}', 'variant'))"
+            out.append(f"CASE WHEN {seen} <> 'VOID' AND {seen} NOT RLIKE r'^{_shape(f.dataType)}$' THEN '{at[2:]}' END")
             if isinstance(f.dataType, T.StructType):
                 out += checks(f.dataType, at)
         return out
 
-    return F.get(F.array_compact(F.array(*checks(schema, "$"))), F.lit(0))
+    return F.expr(f"get(transform(array(try_parse_json(`{document}`)), v -> get(array_compact(array({', '.join(checks(schema, '$'))})), 0)), 0)")

@@ -192,6 +192,11 @@ def import_results(
     ).drop("_known")
     if texts is None:
         return rows.withColumn("features_merged", F.lit(False))
+    return with_features(rows, texts, doc_schema)
+
+
+def with_features(rows: DataFrame, texts: DataFrame, doc_schema: T.StructType | None = None) -> DataFrame:
+    """Add ``features_merged`` and, with a schema, ``analysis``: the document of imported lines with text features merged in."""
     found = texts.select("owner_id", "item_id", "title", "description").withColumn("_text", F.lit(True))
     rows = rows.join(found, ["owner_id", "item_id"], "left")
     merged = (F.col("status") == "imported") & F.col("_text").isNotNull()

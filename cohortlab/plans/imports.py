@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.nested import bad_leaf
-from cohortlab.operators.work import SUCCEEDED, failure_cutoff, import_results, import_stats, importable_job, parse_results
+from cohortlab.operators.work import SUCCEEDED, failure_cutoff, import_results, import_stats, importable_job, parse_results, with_features
 from cohortlab.scale import stage
 from cohortlab.sources.sinks import newest_per_key
 from cohortlab.sources.versions import Store
@@ -28,20 +28,26 @@ class Outcome:
     version: int | None = None
 
 
-def checked_lines(lines: DataFrame, kind: str, owners: DataFrame, schema: T.StructType, texts: DataFrame | None) -> DataFrame:
-    """Result lines with status, reason and typed ``analysis``, up to the line at which an import stops."""
+def checked_lines(lines: DataFrame, kind: str, owners: DataFrame, schema: T.StructType) -> DataFrame:
+    """Result lines with status and reason, up to the line at which an import stops."""
     parsed = parse_results(lines, kind)
-    parsed = parsed.withColumn("bad_leaf", bad_leaf(F.col("document"), schema))
-    rows = import_results(parsed, owners, texts, schema if texts is not None else None)
+    rows = import_results(parsed.withColumn("bad_leaf", bad_leaf("document", schema)), owners)
+    rows = rows.withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES)).drop("line")
+    # staged: the place to stop is found in one pass over the status, and cuts the next
+    return failure_cutoff(stage(rows, "checked"), "file", "line_no", "_block").drop("_block")
+
+
+def with_analysis(rows: DataFrame, schema: T.StructType, texts: DataFrame | None) -> DataFrame:
+    """Add the typed document of imported lines, with text features merged in where the item's texts are known."""
+    good = F.col("status") == "imported"
     if texts is None:
-        rows = rows.withColumn("analysis", F.when(F.col("status") == "imported", F.from_json("document", schema)))
-    rows = rows.withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES))
-    return failure_cutoff(rows, "file", "line_no", "_block").drop("_block")
+        return rows.withColumn("analysis", F.when(good, F.from_json("document", schema)))
+    return with_features(rows.drop("features_merged"), texts, schema)
 
 
 def stamped(rows: DataFrame, at: Column, model: str, version: str) -> DataFrame:
     """Documents to store, the last line of an item counts: keys, leaves, and where they come from."""
-    good = rows.filter(F.col("status") == "imported")
+    good = rows.filter(F.col("analysis").isNotNull())
     docs = newest_per_key(good.select(*KEYS, "line_no", "analysis"), KEYS, ["line_no"])
     return docs.select(
         *KEYS, "analysis.*", at.alias("analyzed_at"), F.lit(model).alias("model_used"), F.lit(version).alias("analysis_version"),
@@ -74,7 +80,8 @@ def run_import(
     if job.state != SUCCEEDED:
         return Outcome("wrong_state", job.job_id)
     texts = store.read("items").select(*KEYS, "title", "description") if with_texts else None
-    rows = stage(checked_lines(lines.filter(F.col("file") == job.result_file), kind, store.read("owners"), schema, texts), "import")
+    rows = checked_lines(lines.filter(F.col("file") == job.result_file), kind, store.read("owners"), schema)
+    rows = stage(with_analysis(rows, schema, texts), "import")
     stats = import_stats(rows).withColumn("aborted", rows.agg(F.coalesce(F.bool_or("aborted"), F.lit(False))).scalar())
     closed = stats.select(
         F.lit(job.job_id).alias("job_id"), at.alias("imported_at"), F.struct(*stats.columns).alias("import_stats")

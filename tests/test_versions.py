@@ -149,7 +149,7 @@ def test_bad_leaf_names_the_value(spark):
         ('{"a": {"n": "1"}}', "a.n"), ('{"a": {"n": 1.5}}', "a.n"), ('{"a": {"tags": "x"}}', "a.tags"), ('{"a": {"tags": []}}', None), ('{"a": {"in": {"ok": "yes"}}}', "a.in.ok"),
         ('{"a": 5}', "a"), ('{"s": {"x": 1}}', "s"), ('{"list": ["#"]}', "list"), ('{"a": {"x": 0.25}}', None), ("{broken", None), (None, None),
     ]
-    got = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(cases)], "i int, d string").select("i", bad_leaf(F.col("d"), schema).alias("b")).collect()
+    got = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(cases)], "i int, d string").select("i", bad_leaf("d", schema).alias("b")).collect()
     assert {r.i: r.b for r in got} == {i: want for i, (_, want) in enumerate(cases)}
 
 
