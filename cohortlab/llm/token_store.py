@@ -49,6 +49,9 @@ LEVEL = 3
 CACHE_WORDS = 1_500_000
 CACHE_WORD_BYTES = 200
 
+# Key of documents without an id in the index; they come first. No document may have it as its id.
+NO_ID = -(1 << 63)
+
 # Fixed values of the file format.
 SEEK_FRAME = 0x184D2A5E
 INDEX_FRAME = 0x184D2A50
@@ -82,6 +85,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        # added tokens are cut out of the texts first; a word that only looks like one after lower-casing is ordinary
         self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -116,7 +123,15 @@ class WordEncoder:
             known[w] = known[stem[1]] + known[stem[2]]
 
     def batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each whole text; null as empty."""
+        """Ids of each whole text; null as empty. Added tokens that stand in a text get their own id, as in the library."""
+        if any(t and token in t for t in texts for token in self.added):
+            parts = [self.cut.split(t or "") for t in texts]
+            ids = iter(self.plain([p for some in parts for p in some[::2]]))
+            return [b"".join(self.added[p] if i % 2 else next(ids) for i, p in enumerate(some)) for some in parts]
+        return self.plain(texts)
+
+    def plain(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         split = [(t or "").encode().translate(PLAIN).split() for t in texts]
         met = set().union(*split)
         if len(self.words) + len(met) > CACHE_WORDS:
@@ -257,9 +272,9 @@ class Store:
 def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, folder: str | None = None) -> Store:
     """Encode every whole text, append ``end_id`` and write token files in ascending ``key`` order.
 
-    Null and empty texts hold the end id alone. Rows without a key cannot be
-    addressed and are an error. Repeated keys are kept, ordered by a hash of
-    the text. An empty table gives no files.
+    Null and empty texts hold the end id alone. Rows without a key come first
+    and are read back without one; ``fetch`` cannot ask for them. Repeated keys
+    are kept, ordered by a hash of the text. An empty table gives no files.
     """
     folder = folder or stage_path(docs.sparkSession, "tokens")
 
@@ -276,9 +291,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
             writer = Writer(out, id_width(tokenizer))
             while batch is not None:
                 for k, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
-                    if k is None:
-                        raise ValueError("a document without an id cannot be stored")
-                    writer.add(k, ids + end)
+                    writer.add(NO_ID if k is None else k, ids + end)
                 batch = next(batches, None)
             writer.close()
         path = f"{folder}/{name.rsplit('/', 1)[1]}"
@@ -287,7 +300,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
     order = F.xxhash64(text)
-    ranged = docs.select(F.col(key).cast("long"), text).repartitionByRange(key, order).sortWithinPartitions(key, order)
+    ranged = docs.select(F.col(key).cast("long"), text).repartitionByRange(F.col(key).asc_nulls_first(), order).sortWithinPartitions(F.col(key).asc_nulls_first(), order)
     schema = "shard long, path string, docs long, ids long, first_id long, last_id long"
     manifest = stage(arrow(ranged, run, schema), "token-manifest")
     return Store(manifest, manifest.count())
@@ -311,7 +324,7 @@ def read(store: Store, key: str = "doc_id") -> DataFrame:
                         some = range(lo, min(lo + 512, len(reader.keys)))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(reader.keys[lo : some.stop], pa.int64()),
+                                pa.array(reader.keys[lo : some.stop], pa.int64(), mask=reader.keys[lo : some.stop] == NO_ID),
                                 pa.array(reader.offsets[lo : some.stop] + base, pa.int64()),
                                 pa.array(reader.sizes[lo : some.stop], pa.int64()),
                                 pa.array([reader.ids(i).tobytes() for i in some], pa.binary()),
@@ -324,7 +337,7 @@ def read(store: Store, key: str = "doc_id") -> DataFrame:
 
 def fetch(store: Store, wanted: Sequence[int], key: str = "doc_id") -> DataFrame:
     """Requested documents only: (key, ids). Opens the files whose id range can hold them and decompresses only their frames."""
-    ask = sorted(set(wanted))
+    ask = sorted(set(wanted) - {NO_ID})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,19 +4,23 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 from cohortlab.llm import token_store as ts
 
 TEXTS = [
     "The quick brown fox, jumped.", "", None, "it's,a “quoted” word… don't. x<|endoftext|>y ÀÉ.́ İ ΣΑΣ a'S!! 'tis ½ z\x0by", "   ", "$$$,### end.'s (x)",
+    "<|endoftext|>", "a<|startoftext|><|endoftext|> b <|endoftext|>", "<|EndOfText|> <|endoftext|", "<|endo ftext|>",
     "word " * 40_000, "xy" * 5000, "Ünïcödé, ÄÖ… 3,5.", "The quick brown fox, jumped.",
 ]
 
 
+LIBRARY = Tokenizer.from_file(ts.TOKENIZER)
+
+
 def whole(text):
-    """Ids of the library over the whole text."""
-    t = ts.word_encoder(ts.TOKENIZER).tokenizer
-    return t.encode(text or "", add_special_tokens=False).ids
+    """Ids of the library, with its defaults, over the whole text."""
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_words_encode_like_whole_texts():
@@ -83,5 +87,8 @@ def test_store_and_read_back(documents):
 
 def test_empty_table_and_missing_key(documents):
     assert ts.digests(ts.write(documents([]))).count() == 0
-    with pytest.raises(Exception, match="without an id"):
-        ts.write(documents([(None, "x")]))
+    store = ts.write(documents([(3, "b c"), (None, "x"), (-4, ""), (None, "y z")]).repartition(2))
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in ts.digests(store).collect())
+    assert [r[1] for r in got] == [None, None, -4, 3] and sorted(r[2] for r in got[:2]) == [2, 3]
+    assert [r[0] for r in got] == [0, got[0][2], 5, 6]
+    assert {r.doc_id for r in ts.fetch(store, [3, 9]).collect()} == {3}
