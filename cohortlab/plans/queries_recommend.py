@@ -403,8 +403,14 @@ def event_stream(spark, sf):
 
 @query("rate_limit_stream", RATE_SQL)
 def rate_limit_stream_query(spark, sf):
-    """The same decisions from a keyed stream."""
-    rows = event_stream(spark, sf).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    """The same decisions from a keyed stream, one landed file a trigger, in order of time."""
+    requests = D.events(spark, sf).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    first, last = requests.agg(F.min("ms"), F.max("ms")).first()
+    landed, files = stage_path(spark, "requests"), 4
+    file = F.floor((F.col("ms") - (first or 0)) * files / ((last or 0) - (first or 0) + 1))
+    for i in range(files):
+        requests.filter(file == i).coalesce(1).write.mode("append").parquet(landed)
+    rows = SI.read_landed(spark, landed, requests.schema, max_files=1)
     out = rate_limit_stream(rows, "user_id", "ms", "event_id", PER_DAY, DAY_MS)
     path = stage_path(spark, "limited")
     SI.drain_to_parquet(out, path, stage_path(spark, "limited-checkpoint"))

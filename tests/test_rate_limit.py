@@ -1,5 +1,7 @@
 """Rate limiter: table and stream against a plain fold; incremental stream."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,3 +94,38 @@ def test_requests_without_a_key_are_decided_too(spark):
     df = spark.createDataFrame(rows, "key string, ms long, seq long")
     got = {r.seq: (r.allowed, r.remaining) for r in rate_limit(df, "key", "ms", "seq", max_requests=1, window_ms=100).collect()}
     assert got == {1: (True, 0), 2: (True, 0), 3: (False, 0)}
+
+
+def test_a_hot_key_over_many_blocks(spark):
+    """Gaps, bursts and times before zero; the hot key has requests in hundreds of blocks."""
+    rng = np.random.default_rng(2)
+    rows = [("hot", int(t), i) for i, t in enumerate(rng.integers(-300_000, 300_000, 3000))]
+    rows += [("gaps", int(t), 5000 + i) for i, t in enumerate([-290_000, -1, 0, 99, 100, 250_000, 250_001, 299_999])]
+    df = spark.createDataFrame(rows, "key string, ms long, seq long").repartition(5)
+    got = {r.seq: (r.window_start, r.allowed, r.remaining) for r in rate_limit(df, "key", "ms", "seq", 2, 100).collect()}
+    assert got == fold(rows, 2, 100)
+
+
+def test_no_requests_and_equal_times(spark):
+    none = spark.createDataFrame([], "key string, ms long, seq long")
+    assert rate_limit(none, "key", "ms", "seq", 2, 100).count() == 0
+    same = [("a", 7, i) for i in range(5)]
+    got = {r.seq: (r.window_start, r.allowed, r.remaining) for r in rate_limit(spark.createDataFrame(same, none.schema), "key", "ms", "seq", 2, 100).collect()}
+    assert got == fold(same, 2, 100)
+
+
+def test_stream_state_expires(spark, tmp_path):
+    """A key's window is removed once the watermark has passed its end."""
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [(f"k{i}", i * 1000, i) for i in range(200)]
+    for i in range(4):
+        pd.DataFrame(rows[i * 50 : i * 50 + 50], columns=["key", "ms", "seq"]).to_parquet(src / f"{i}.parquet")
+        os.utime(src / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = SI.read_landed(spark, str(src), "key string, ms long, seq long", max_files=1)
+    out = rate_limit_stream(stream, "key", "ms", "seq", 3, 5_000, delay="2 seconds")
+    path = stage_path(spark, "expiring")
+    query = SI.drain_to_parquet(out, path, stage_path(spark, "expiring-checkpoint"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(path).count() == 200
+    assert held[-1] <= 10 < max(held) <= 110, held
