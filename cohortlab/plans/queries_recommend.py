@@ -166,7 +166,7 @@ def request_insights(spark, sf, full=False):
     stats = settle(G.topic_stats(by_type.withColumn("vps", F.when(F.col("topic") == "small", F.col("vps") * 0.3).otherwise(F.col("vps"))), "topic", "vps"))
     slots = settle(B.timing_insights(event_timing(spark, sf)))
     out = R.Insights(
-        gaps=settle(G.topic_gaps(stats, 3)), saturated=settle(G.saturated_topics(stats)), slots=slots, optimal=settle(B.optimal_slot(slots)), n_items=1000, version="v1",
+        gaps=settle(G.topic_gaps(stats)), saturated=settle(G.saturated_topics(stats)), slots=slots, optimal=settle(B.optimal_slot(slots)), n_items=1000, version="v1",
     )
     if full:
         out.keywords = settle(G.keyword_gaps(G.keyword_stats(df, "vps", "primary_keyword", "secondary_keywords")))
@@ -179,7 +179,7 @@ ptopics AS (
   SELECT topic, round(a, 2) AS avg_vps, n AS n_items, round(n / total * 100, 2) AS content_share, round(a / (n + 1), 3) AS opportunity_score, n > total * 0.1 AND round(a, 2) < mean * 0.8 AS saturated
   FROM (SELECT lower(coalesce(niche, 'unknown')) AS topic, avg(vps) AS a, count(*) AS n FROM penal WHERE vps > 0 GROUP BY 1 HAVING count(*) >= 3), ptot
 ),
-pgaps AS (SELECT * FROM ptopics ORDER BY opportunity_score DESC, topic LIMIT 3),
+pgaps AS (SELECT * FROM ptopics ORDER BY opportunity_score DESC, topic LIMIT 20),
 psat AS (SELECT * FROM ptopics WHERE saturated ORDER BY opportunity_score DESC, topic LIMIT 10)"""
 PENAL_SQL = "penal AS (SELECT * REPLACE (CASE WHEN niche = 'SMALL' THEN vps * 0.3 ELSE vps END AS vps) FROM topical)"
 REQ_T_SQL = f"{T_SQL}, {PENAL_SQL}, {TOPICS_SQL}, {REQUEST_SQL}, {DIM_SQL}"
@@ -270,14 +270,14 @@ def fill_missing_sections(spark, sf):
 IDEAS_SQL = f"""{FORMAT_ROWS_SQL},
 bestf AS (SELECT format FROM format_rows WHERE recommended ORDER BY multiplier DESC, format LIMIT 1),
 kw AS (SELECT *, row_number() OVER (ORDER BY multiplier DESC, keyword) AS r FROM keyword_rows ORDER BY r LIMIT 5),
-gi AS (SELECT row_number() OVER (ORDER BY opportunity_score DESC, topic) AS rank, topic, coalesce((SELECT format FROM bestf) || ' style — low competition, high viewer interest', 'Underserved topic with high viewer demand') AS angle, opportunity_score AS score FROM pgaps),
-ki AS (SELECT 3 + r AS rank, keyword AS topic, 'High-value keyword with ' || printf('%.1f', round(multiplier, 1)) || 'x view multiplier' AS angle, round(least(100, multiplier * 20), 3) AS score FROM kw WHERE r <= 2),
+gi AS (SELECT row_number() OVER (ORDER BY opportunity_score DESC, topic) AS rank, topic, coalesce((SELECT format FROM bestf) || ' style — low competition, high viewer interest', 'Underserved topic with high viewer demand') AS angle, opportunity_score AS score FROM pgaps QUALIFY rank <= 5),
+ki AS (SELECT (SELECT count(*) FROM gi) + r AS rank, keyword AS topic, 'High-value keyword with ' || printf('%.1f', round(multiplier, 1)) || 'x view multiplier' AS angle, round(least(100, multiplier * 20), 3) AS score FROM kw WHERE r <= 5 - (SELECT count(*) FROM gi)),
 ideas AS (SELECT * FROM gi UNION ALL SELECT * FROM ki)"""
 
 
 @query("idea_rows", f"{REQ_T_SQL}, {KEYWORD_SQL}, {IDEAS_SQL} SELECT request_id, CAST(rank AS INTEGER) AS rank, i.topic, i.angle, i.score, type AS suggested_type FROM valid v, ideas i")
 def idea_rows(spark, sf):
-    """Three gaps padded by two keywords for every request."""
+    """The best gaps, padded by keywords, for every request."""
     ideas = R.idea_rows(valid_requests(spark, sf), request_insights(spark, sf, full=True))
     return ideas.select("request_id", "rank", "topic", "angle", "score", "suggested_type")
 
@@ -285,7 +285,7 @@ def idea_rows(spark, sf):
 @query(
     "insight_digest",
     f"""{REQ_T_SQL}, {KEYWORD_SQL}, {FORMAT_ROWS_SQL}, {SLOT_SQL}, {BEST_SQL}
-SELECT 'high_opportunity' AS section, CAST(row_number() OVER (ORDER BY opportunity_score DESC, topic) AS INTEGER) AS rank, topic || ' (opportunity score: ' || printf('%.0f', round(opportunity_score, 0)) || ')' AS label FROM pgaps
+SELECT 'high_opportunity' AS section, CAST(row_number() OVER (ORDER BY opportunity_score DESC, topic) AS INTEGER) AS rank, topic || ' (opportunity score: ' || printf('%.0f', round(opportunity_score, 0)) || ')' AS label FROM pgaps QUALIFY rank <= 3
 UNION ALL SELECT 'saturated', CAST(row_number() OVER (ORDER BY opportunity_score DESC, topic) AS INTEGER), topic || CASE WHEN content_share > 20 THEN ' (high competition)' ELSE ' (medium competition)' END FROM psat
 UNION ALL SELECT 'keyword', CAST(r AS INTEGER), keyword || ' (' || printf('%.1f', round(multiplier, 1)) || 'x views, used ' || usage_count || ' times, ' || printf('%.1f', round(usage_percent, 1)) || '% usage)' FROM (SELECT *, row_number() OVER (ORDER BY multiplier DESC, keyword) AS r FROM keyword_rows) WHERE r <= 15
 UNION ALL SELECT 'format', CAST(row_number() OVER (ORDER BY multiplier DESC, format) AS INTEGER), format || ': ' || printf('%.1f', round(multiplier, 1)) || 'x views (' || n_items || ' videos, ' || printf('%.1f', round(usage_percent, 1)) || '% of content)' FROM format_rows

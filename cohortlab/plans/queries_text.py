@@ -403,9 +403,8 @@ def resolution_quota_cost(spark, sf):
 @query(
     "safe_key",
     """SELECT doc_id, CASE WHEN strlen(k) <= 200 THEN k ELSE left(k, list_max(list_filter(range(0, 198), lambda n: strlen(left(k, n)) <= 197))) || '...' END AS key
-FROM (SELECT doc_id, left(text, 50 + CAST(doc_id % 250 AS INTEGER)) AS k FROM documents)""",
+FROM (SELECT doc_id, text AS k FROM documents)""",
 )
 def safe_key(spark, sf):
     """Keys cut at whole characters."""
-    k = F.left(F.col("text"), (F.lit(50) + F.col("doc_id") % 250).cast("int"))
-    return D.table(spark, sf, "documents").withColumn("k", k).select("doc_id", M.safe_key(F.col("k")).alias("key"))
+    return D.table(spark, sf, "documents").select("doc_id", M.safe_key(F.col("text")).alias("key"))

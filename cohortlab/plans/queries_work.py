@@ -235,7 +235,7 @@ def source_texts(spark, sf):
     msgs = D.table(spark, sf, "conversations").filter("turn % 2 = 0")
     return msgs.select(
         D.owner_code(F.col("conv_id") % 50).alias("owner_id"), D.item_code(F.col("conv_id") * 100 + F.col("turn")).alias("item_id"),
-        F.left("text", F.lit(40)).alias("title"), F.col("text").alias("description"),
+        F.col("text").alias("title"), F.col("text").alias("description"),
     )
 
 
@@ -254,7 +254,7 @@ def result_jsonl_scan(spark, sf):
 @query(
     "import_results",
     f"""WITH {RESULT_SQL} SELECT n, CASE WHEN reason IS NULL THEN 'imported' WHEN reason = 'parse_error' THEN 'parse_error' ELSE 'failed' END AS status, reason,
-  reason IS NULL AND n % 100 % 2 = 0 AS features_merged, CASE WHEN reason IS NULL THEN role END AS pattern, CASE WHEN reason IS NULL AND n % 100 % 2 = 0 THEN CAST(length(left(text, 40)) AS INTEGER) END AS characters,
+  reason IS NULL AND n % 100 % 2 = 0 AS features_merged, CASE WHEN reason IS NULL THEN role END AS pattern, CASE WHEN reason IS NULL AND n % 100 % 2 = 0 THEN CAST(length(text) AS INTEGER) END AS characters,
   CASE WHEN reason IS NULL AND n % 100 % 2 = 0 THEN CAST(length(text) AS INTEGER) END AS description_length
 FROM results""",
 )
