@@ -1,3 +1,5 @@
+import random
+
 from cohortlab.llm import quote_links as ql
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -68,3 +70,79 @@ def test_empty_table_and_blocks(spark):
     assert told(spark, []) == {}
     rows = ql.formatted(ql.threads(spark.createDataFrame(ROWS, SCHEMA)))
     assert [r.block for r in rows.filter("thread_id = 1").orderBy("position").limit(2).collect()][1] == "<|assistant|>\nI am fine thanks.\n"
+
+
+def test_quotes_of_conversations_with_larger_ids(spark):
+    got = told(spark, [(5, 0, "user", "> the answer is forty two\nWhy?"), (9, 0, "user", "Listen."), (9, 1, "user", "The answer is forty two.")])
+    shown = {k[:2]: (r.thread_id, r.position, r.parent_conv, r.parent_turn, r.n_linked) for k, r in got.items()}
+    assert shown == {(9, 0): (5, 1, None, None, 0), (9, 1): (5, 2, 9, 0, 0), (5, 0): (5, 3, 9, 1, 1)}
+
+
+def test_a_common_closing_does_not_win(spark):
+    rows = [
+        (1, 0, "user", "Something else.\nBest regards"),
+        (2, 0, "user", "Opening words of the day.\nSee you soon\nBest regards\nmore lines\nthat are not quoted"),
+        (3, 0, "user", "> See you soon\n> Best regards\nNice."),
+        (4, 0, "user", "> Best regards\nOnly that."),
+    ]
+    got = told(spark, rows)
+    assert {k[0]: (r.parent_conv, r.parent_turn) for k, r in got.items()} == {1: (None, None), 2: (None, None), 3: (2, 0), 4: (1, 0)}
+
+
+def test_cycles_are_broken_at_their_smallest_message(spark):
+    rows = [
+        (1, 0, "user", "> second saying\nfirst saying"),
+        (2, 0, "user", "> third saying\nsecond saying"),
+        (3, 0, "user", "> first saying\nthird saying"),
+        (3, 1, "user", "a tail"),
+        (4, 0, "user", "> a tail\nits end"),
+    ]
+    got = {k[:2]: (r.thread_id, r.position, r.parent_conv, r.parent_turn) for k, r in told(spark, rows).items()}
+    assert got == {(1, 0): (1, 1, None, None), (3, 0): (1, 2, 1, 0), (2, 0): (1, 3, 3, 0), (3, 1): (1, 4, 3, 0), (4, 0): (1, 5, 3, 1)}
+
+
+def brute_source(rows, conv, turn, quote):
+    """The message that holds most of the quoted lines, in plain Python."""
+    size = sum(map(len, quote))
+    best = None
+    for c, t, lines in rows:
+        held = sum(len(x) for x in quote if x in lines)
+        if 2 * held < size or (c == conv and t >= turn):
+            continue
+        rank = (-held, c != conv, -t if c == conv else c, t)
+        best = min(best or (rank, c, t), (rank, c, t))
+    return best and best[1:]
+
+
+def test_brute_force_over_a_quoting_table(spark):
+    """Parts of paragraphs, common lines and closings, quotes in all directions."""
+    rng = random.Random(4)
+    common = ["best regards", "thanks a lot", "hello all", "see below", "ok"]
+    said, rows, want = [], [], {}
+    for c in range(60):
+        for t in range(rng.randrange(1, 6)):
+            said.append((c, t, [rng.choice(common) if rng.random() < 0.4 else f"line {rng.randrange(150)} of note" for _ in range(rng.randrange(1, 6))]))
+    for c, t, lines in said:
+        quote = []
+        if rng.random() < 0.6:
+            other = rng.choice(said)[2]
+            at = rng.randrange(len(other))
+            quote = other[at : at + rng.randrange(1, 4)]
+            if rng.random() < 0.2:
+                quote = [*quote, "never said"]
+            want[c, t] = brute_source(said, c, t, quote)
+        rows.append((c, t, "user", "\n".join([*("> " + x for x in quote), "", *lines])))
+    got = ql.links(ql.units(ql.parsed(spark.createDataFrame([(c, t, t + 1, x) for c, t, _, x in rows], "conv long, turn long, row long, text string")))).collect()
+    assert {(r.conv, r.turn): r.to_conv is not None and (r.to_conv, r.to_turn) or None for r in got} == want
+    out = told(spark, rows)
+    place = {k[:2]: r.position for k, r in out.items()}
+    assert all(place[r.parent_conv, r.parent_turn] < r.position for r in out.values() if r.parent_conv is not None)
+    for thread in {r.thread_id for r in out.values()}:
+        assert sorted(r.position for r in out.values() if r.thread_id == thread) == list(range(1, 1 + sum(r.thread_id == thread for r in out.values())))
+
+
+def test_nulls_empty_table_repeats_and_extra_columns(spark):
+    rows = [(1, 0, None, None, "x"), (1, 1, "user", "> hi there\nyes", "x"), (2, 0, "user", "hi there", None), (2, 0, "user", "hi there", None)]
+    out = ql.threads(spark.createDataFrame(rows, SCHEMA + ", component string"))
+    assert sorted((r.conv_id, r.turn, r.parent_conv, r.parent_turn) for r in out.collect() if r.n_linked) == [(1, 1, 2, 0)]
+    assert out.count() == 4 and "component" not in out.columns
