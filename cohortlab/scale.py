@@ -60,6 +60,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# Distinct values of one group's bracket that one task sorts, and parts a wider one is cut into.
+BRACKET_VALUES, BRACKET_PARTS, MAX_NARROWINGS = 100_000, 64, 30
+
+
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = LOOKUP_ROWS
 ) -> DataFrame:
@@ -87,28 +91,15 @@ def settle(small: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     return stage(small, "settled")
 
 
-def group_quantiles(
-    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000, count: str | None = None
-) -> DataFrame:
-    """Exact linear-interpolation quantiles per ``keys``, one row per group.
+def quantile_brackets(src: DataFrame, keys: list[str], ps: Sequence[float], accuracy: int) -> DataFrame:
+    """(keys, _b, _rows): per wanted quantile ``i`` of column ``_v<i>`` the values ``lo`` and ``hi`` around its rank, by a fixed-size sketch.
 
-    ``wanted`` maps result names to (column, p). A fixed-size sketch brackets
-    each rank; one more pass counts the rows below the bracket and the
-    distinct values inside it. Only the bracket, a sliver of a group, is ever
-    sorted. Nulls are ignored. With no keys there is one row (none for empty
-    input). ``count`` adds the number of rows per group.
+    ``size`` is how many distinct values a bracket may hold.
     """
-    keys = list(keys)
-    one_group = not keys
-    names = list(wanted)
-    src = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, (c, _) in enumerate(wanted.values())])
-    if one_group:
-        src, keys = src.withColumn("_all", F.lit(1)), ["_all"]
-
     # sketch error is 1/accuracy of the group; a bracket is also at least three ranks wide
     margins = [m for m in (1.0, 0.1, 0.01, 0.001) if m > 4.0 / accuracy] + [4.0 / accuracy]
     brackets = []
-    for i, (_, p) in enumerate(wanted.values()):
+    for i, p in enumerate(ps):
         ends = [max(0.0, p - m) for m in margins] + [min(1.0, p + m) for m in margins]
         sketch, n = F.percentile_approx(f"_v{i}", ends, accuracy), F.count(f"_v{i}")
         level = F.lit(0)
@@ -117,13 +108,63 @@ def group_quantiles(
         brackets.append(
             F.struct(
                 F.lit(i).alias("i"), F.get(sketch, level).alias("lo"), F.get(sketch, level + len(margins)).alias("hi"),
-                n.alias("n"), F.lit(p).alias("p"),
+                n.alias("n"), F.lit(p).alias("p"), (F.get(F.array(*map(F.lit, margins)), level) * 2 * n).cast("long").alias("size"),
             )
         )
-    bracket = src.groupBy(*keys).agg(F.array(*brackets).alias("_b"), F.count(F.lit(1)).alias("_rows"))
-    # a single group is one row; more groups are counted before they are broadcast
-    near = src.join(F.broadcast(bracket), keys) if one_group else lookup_join(src, bracket, keys)
-    values = F.array(*[F.col(f"_v{i}") for i in range(len(names))])
+    return src.groupBy(*keys).agg(F.array(*brackets).alias("_b"), F.count(F.lit(1)).alias("_rows"))
+
+
+def narrowed(src: DataFrame, keys: list[str], bracket: DataFrame, n_wanted: int, accuracy: int) -> DataFrame:
+    """The settled brackets, cut down until each has at most ``BRACKET_VALUES`` distinct values.
+
+    A round counts the rows below a bracket and sketches those inside, so a
+    bracket becomes the few of ``BRACKET_PARTS`` parts around its rank. One that does
+    not hold its rank is opened to all values and cut down again.
+    """
+    for _ in range(MAX_NARROWINGS):
+        wide = F.exists("_b", lambda b: (b["size"] > BRACKET_VALUES) & (b["lo"] < b["hi"]))
+        if bracket.filter(wide).isEmpty():
+            return bracket
+        near = lookup_join(src, bracket.filter(wide), keys)
+        aggs = []
+        for i in range(n_wanted):
+            v, lo, hi = F.col(f"_v{i}"), F.get("_b", F.lit(i))["lo"], F.get("_b", F.lit(i))["hi"]
+            # rows equal to an end are counted apart: however many they are, the parts are cut among the others
+            inside = F.when((v > lo) & (v < hi), v)
+            grid = [k / BRACKET_PARTS for k in range(BRACKET_PARTS + 1)]
+            aggs += [
+                F.count(F.when(v < lo, v)).alias(f"_below{i}"), F.count(F.when(v == lo, v)).alias(f"_low{i}"), F.count(F.when(v == hi, v)).alias(f"_high{i}"),
+                F.count(inside).alias(f"_inside{i}"), F.approx_count_distinct(inside).alias(f"_distinct{i}"),
+                F.percentile_approx(inside, grid, accuracy).alias(f"_grid{i}"),
+            ]
+        counts = near.groupBy(*keys).agg(*aggs)
+        cut = []
+        for i in range(n_wanted):
+            b, inside, distinct = F.get("_b", F.lit(i)), F.col(f"_inside{i}"), F.col(f"_distinct{i}")
+            pos, begin = (b["n"] - 1) * b["p"], F.col(f"_below{i}") + F.col(f"_low{i}")
+            first, last = ((at - begin) * BRACKET_PARTS / F.greatest(inside, F.lit(1)) for at in (F.floor(pos), F.ceil(pos)))
+            grid = lambda k, i=i: F.get(f"_grid{i}", F.least(F.greatest(k, F.lit(0)), F.lit(BRACKET_PARTS)).cast("int"))
+            # one part to spare on each side
+            lo = F.when(F.floor(pos) < begin, b["lo"]).when(F.floor(pos) >= begin + inside, b["hi"]).otherwise(grid(F.floor(first) - 1))
+            hi = F.when(F.ceil(pos) < begin, b["lo"]).when(F.ceil(pos) >= begin + inside, b["hi"]).otherwise(grid(F.ceil(last) + 1))
+            missed = (F.floor(pos) < F.col(f"_below{i}")) | (F.ceil(pos) >= begin + inside + F.col(f"_high{i}"))
+            told = lambda lo, hi, size, b=b: F.struct(b["i"].alias("i"), lo.alias("lo"), hi.alias("hi"), b["n"].alias("n"), b["p"].alias("p"), size.cast("long").alias("size"))
+            cut.append(
+                # brackets that are narrow enough, and groups without a value, are as they were
+                F.when(F.coalesce((b["size"] <= BRACKET_VALUES) | (b["n"] == 0), F.lit(True)), b)
+                .when(missed, told(F.lit(float("-inf")), F.lit(float("inf")), b["n"]))
+                .when(distinct <= BRACKET_VALUES, told(b["lo"], b["hi"], distinct))
+                .otherwise(told(lo, hi, distinct))
+            )
+        again = bracket.filter(wide).join(counts, keys).select(*keys, F.array(*cut).alias("_b"), "_rows")
+        bracket = settle(bracket.filter(~F.coalesce(wide, F.lit(False))).unionByName(again))
+    raise RuntimeError("quantile brackets did not settle")
+
+
+def ranked_in(src: DataFrame, keys: list[str], bracket: DataFrame, n_wanted: int) -> DataFrame:
+    """(keys, _rows, _lo<i>, _hi<i>, _part<i>, _missed<i>): the values next to each rank, from the values inside its bracket."""
+    near = lookup_join(src, bracket, keys)
+    values = F.array(*[F.col(f"_v{i}") for i in range(n_wanted)])
     # rows above a bracket never matter, rows below only as a count (null v)
     cells = F.filter(
         F.transform(
@@ -146,26 +187,61 @@ def group_quantiles(
     pos = (F.col("n") - 1) * F.col("p")
     ranked = counted.withColumn("_cum", F.sum("_k").over(upto))
     aggs: list[Column] = [F.max("_rows").alias("_rows")]
-    for i in range(len(names)):
+    for i in range(n_wanted):
         mine = F.col("i") == i
+        # the rank must lie inside the bracket: not among the rows below, not beyond the last one
+        early = F.bool_or(mine & F.col("v").isNull() & (F.col("_cum") > F.floor(pos)))
+        reach = F.max(F.when(mine, F.col("_cum") - F.ceil(pos)))
         aggs += [
             F.min(F.when(mine & (F.col("_cum") > F.floor(pos)), F.col("v"))).alias(f"_lo{i}"),
             F.min(F.when(mine & (F.col("_cum") > F.ceil(pos)), F.col("v"))).alias(f"_hi{i}"),
             F.max(F.when(mine, pos - F.floor(pos))).alias(f"_part{i}"),
-            # the rank must lie inside the bracket: not among the rows below, not beyond the last one
-            F.bool_or(mine & F.col("v").isNull() & (F.col("_cum") > F.floor(pos))).alias(f"_early{i}"),
-            F.max(F.when(mine, F.col("_cum") - F.ceil(pos))).alias(f"_reach{i}"),
+            (early | (reach <= 0)).alias(f"_missed{i}"),
         ]
-    found = ranked.groupBy(*keys).agg(*aggs)
+    return ranked.groupBy(*keys).agg(*aggs)
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000, count: str | None = None
+) -> DataFrame:
+    """Exact linear-interpolation quantiles per ``keys``, one row per group.
 
-    def value(i: int) -> Column:
-        lo, hi, part = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_part{i}")
-        missed = F.col(f"_early{i}") | (F.col(f"_reach{i}") <= 0)
-        failure = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        return F.when(missed, failure).otherwise(lo + (hi - lo) * part)
+    ``wanted`` maps result names to (column, p). A fixed-size sketch brackets
+    each rank; in very large groups the brackets are narrowed until they hold a
+    fixed number of distinct values. One more pass counts the rows below
+    the bracket and the distinct values inside it, so what one task sorts is
+    bounded. A bracket that missed its rank is opened and narrowed again.
+    Nulls are ignored. With no keys there is one row (none for empty
+    input). ``count`` adds the number of rows per group.
+    """
+    keys = list(keys)
+    one_group = not keys
+    names = list(wanted)
+    src = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, (c, _) in enumerate(wanted.values())])
+    if one_group:
+        src, keys = src.withColumn("_all", F.lit(1)), ["_all"]
 
-    out = found.select(*keys, "_rows", *[value(i).alias(name) for i, name in enumerate(names)])
-    return out.select(*([] if one_group else keys), *names, *([F.col("_rows").alias(count)] if count else []))
+    bracket = settle(quantile_brackets(src, keys, [p for _, p in wanted.values()], accuracy))
+    done = None
+    for _ in range(MAX_NARROWINGS):
+        found = settle(ranked_in(src, keys, narrowed(src, keys, bracket, len(names), accuracy), len(names)))
+        missed = F.lit(False)
+        for i in range(len(names)):
+            # without a value at or below the bracket there is no row
+            missed = missed | ((F.get("_b", F.lit(i))["n"] > 0) & F.coalesce(f"_missed{i}", F.lit(True)))
+        told = settle(bracket.join(found.drop("_rows"), keys, "left").withColumn("_missed", missed))
+        good = told.filter(~F.col("_missed")).drop("_b", "_missed")
+        done = good if done is None else done.unionByName(good)
+        again = told.filter("_missed")
+        if again.isEmpty():
+            break
+        open_end = lambda b: b.withField("lo", F.lit(float("-inf"))).withField("hi", F.lit(float("inf"))).withField("size", b["n"])
+        bracket = settle(again.select(*keys, F.transform("_b", open_end).alias("_b"), "_rows"))
+    else:
+        raise RuntimeError("quantile brackets did not settle")
+
+    value = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")
+    return done.select(*([] if one_group else keys), *[value(i).alias(name) for i, name in enumerate(names)], *([F.col("_rows").alias(count)] if count else []))
 
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str = "threshold") -> DataFrame:

@@ -98,3 +98,47 @@ def test_stage_root_is_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert scale.stage_root(spark) == scale.stage_root(spark)
     assert not shared or scale.stage_root(spark) == shared.rstrip("/")
+
+
+def test_brackets_are_narrowed_to_a_bounded_size(hot, monkeypatch):
+    """With a tiny bound the sketch's brackets are cut down in rounds; heavy ties end them."""
+    pdf, df = hot
+    monkeypatch.setattr(scale, "BRACKET_VALUES", 40)
+    seen, plain = [], scale.narrowed
+
+    def spy(*args):
+        out = plain(*args)
+        seen.extend(b for r in out.collect() for b in r._b)
+        return out
+
+    monkeypatch.setattr(scale, "narrowed", spy)
+    out = scale.group_quantiles(df, ["k"], {"a": ("v", 0.9), "b": ("w", 0.25)}, accuracy=200).collect()
+    want = pdf.groupby("k").agg(a=("v", lambda s: s.quantile(0.9)), b=("w", lambda s: s.quantile(0.25)))
+    assert all(r.a == pytest.approx(want.a[r.k], rel=1e-12) and r.b == pytest.approx(want.b[r.k], rel=1e-12) for r in out)
+    assert len(out) == len(want) and all(b.size <= 40 or b.lo == b.hi for b in seen)
+
+
+def test_a_missed_bracket_is_opened_again(hot, monkeypatch):
+    pdf, df = hot
+    plain = scale.quantile_brackets
+
+    def wrong(*args):
+        """Every other group's brackets lie beside the rank, below or above it."""
+        off = F.when(F.col("k") % 4 == 0, F.lit(-1e9)).when(F.col("k") % 4 == 2, F.lit(1e9)).otherwise(F.lit(0.0))
+        moved = lambda b: b.withField("lo", b["lo"] + off).withField("hi", b["hi"] + off)
+        return plain(*args).withColumn("_b", F.transform("_b", moved))
+
+    monkeypatch.setattr(scale, "quantile_brackets", wrong)
+    got = {r.k: r.threshold for r in scale.group_quantile(df, ["k"], "v", 0.95).collect()}
+    want = pdf.groupby("k")["v"].quantile(0.95).to_dict()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_ties_in_one_very_large_group(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BRACKET_VALUES", 1)
+    df = spark.range(100_000).select(F.lit("a").alias("k"), F.when(F.col("id") < 50_000, 5.0).otherwise(6.0).alias("v"))
+    assert scale.group_quantile(df, ["k"], "v", 0.5).collect()[0].threshold == 5.5
+    # the rank lies just beyond 100,000 equal values, with 2,000 different ones behind them
+    rest = spark.range(2_000).select(F.lit("a").alias("k"), (F.col("id") + 10.0).alias("v"))
+    got = scale.group_quantile(df.unionByName(rest), ["k"], "v", 100_001 / 101_999, "t").collect()[0].t
+    assert got == pytest.approx(11.0, abs=1e-6)
