@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,10 @@ class Index:
     items: dict[tuple[int, ...], list[str]]
 
 
+# Words as they stand in a text, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def build(items: list[tuple[str, str | None]], size: int) -> Index:
     vocabulary: dict[bytes, int] = {}
     windows: dict[tuple[int, ...], set[str]] = {}
@@ -108,18 +113,36 @@ def hits(texts: list[str | None], index: Index) -> Iterator[tuple[int, list[int]
         yield len(words), sorted(at), sorted(names)
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, size: int, block_bytes: int) -> list[Index]:
-    """Indexes of bounded blocks of the benchmark; one empty index for an empty benchmark.
+def pieces(benchmark: DataFrame, item: str, text: str, size: int, piece_bytes: int) -> DataFrame:
+    """Different (i, t) of the benchmark; longer texts in pieces that share ``size`` - 1 words, so together they have the same windows.
 
-    Items without an id are matched under the name ``null``.
+    A piece has about ``piece_bytes``. Items without an id go by the name ``null``.
     """
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t"))
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).distinct()
+    long = F.octet_length("t") > piece_bytes
+    words = rows.filter(long).select("i", F.octet_length("t").alias("bytes"), F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    n = F.size("w")
+    step = F.greatest(F.floor(n * (piece_bytes / F.col("bytes"))), F.lit(1)).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), step)
+    cut = words.filter(n > 0).select("i", F.explode(F.transform(starts, lambda at: F.array_join(F.slice("w", at + 1, step + size - 1), " "))).alias("t"))
+    return rows.filter(F.coalesce(~long, F.lit(True))).unionByName(cut).distinct()
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, size: int, block_bytes: int) -> tuple[int, Iterator[Index]]:
+    """How many bounded blocks the benchmark has, and their indexes, each built when it is asked for; one empty index for an empty benchmark."""
+    rows = stage(pieces(benchmark, item, text, size, block_bytes // 8), "benchmark-pieces")
     total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     n = -(-total // block_bytes)
-    if n <= 1:
-        return [build([tuple(r) for r in rows.collect()], size)]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(2 * n))
-    return [build([tuple(r) for r in rows.filter(part == k).collect()], size) for k in range(2 * n)]
+    n = 2 * n if n > 1 else 1
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    return n, (build([tuple(r) for r in rows.filter(part == k).collect()], size) for k in range(n))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column begins with."""
+    while any(c.lower().startswith(name) for c in columns):
+        name = "_" + name
+    return name
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
@@ -137,9 +160,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     new = {n_words: F.lit(0).cast("long"), hit_words: F.lit(None).cast("array<int>"), found_items: F.lit(None).cast("array<string>")}
     shape = rest.drop(text).withColumns(new).schema
 
-    def one(index: Index, source: DataFrame) -> DataFrame:
-        sent = sc.broadcast(index)
-
+    def one(sent: Broadcast, source: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index(text)
@@ -153,21 +174,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
         return arrow(source, run, shape)
 
-    indexes = blocks(benchmark, item, "text", size, block_bytes)
-    if len(indexes) == 1:
-        return one(indexes[0], rest)
+    n, indexes = blocks(benchmark, item, "text", size, block_bytes)
+    if n == 1:
+        return one(sc.broadcast(next(indexes)), rest)
     # rows are told apart by a number that is fixed before the first scan
-    numbered = stage(rest.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    shape = T.StructType([T.StructField("_row", T.LongType()), *shape.fields[-3:]])
-    found = [stage(one(x, numbered.select("_row", text)).filter(F.size(found_items) > 0), "hits") for x in indexes]
+    row = unused(docs.columns, "_row")
+    numbered = stage(rest.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    shape = T.StructType([T.StructField(row, T.LongType()), *shape.fields[-3:]])
+    found = []
+    for index in indexes:
+        # one index at a time, on the driver as on the executors
+        sent = sc.broadcast(index)
+        found.append(stage(one(sent, numbered.select(row, text)).filter(F.size(found_items) > 0), "hits"))
+        sent.destroy()
     merged = found[0]
     for more in found[1:]:
         merged = merged.unionByName(more)
     union = {c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) for c in (hit_words, found_items)}
-    merged = merged.groupBy("_row").agg(*[c.alias(name) for name, c in union.items()])
-    counted = one(Index({}, {}, {}), numbered.select("_row", text)).select("_row", n_words)
+    merged = merged.groupBy(row).agg(*[c.alias(name) for name, c in union.items()])
+    counted = one(sc.broadcast(Index({}, {}, {})), numbered.select(row, text)).select(row, n_words)
     empty = {hit_words: F.coalesce(hit_words, F.array().cast("array<int>")), found_items: F.coalesce(found_items, F.array().cast("array<string>"))}
-    return numbered.drop(text).join(counted, "_row").join(merged, "_row", "left").withColumns(empty).drop("_row")
+    return numbered.drop(text).join(counted, row).join(merged, row, "left").withColumns(empty).drop(row)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -207,9 +234,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share
     removed; clean documents pass unchanged. ``n_chars``, if there, follows
     a changed text.
     """
-    both = scan(docs.withColumn("_scan_text", F.col(text)), benchmark, text="_scan_text", prefix="_scan_")
+    own = unused(docs.columns, "_scan_")
+    both = scan(docs.withColumn(own + "text", F.col(text)), benchmark, text=own + "text", prefix=own)
     schema = docs.schema
-    kept = both.filter(F.size("_scan_hit_words") <= drop_share * F.col("_scan_n_words")).select(*docs.columns, "_scan_hit_words")
+    kept = both.filter(F.size(own + "hit_words") <= drop_share * F.col(own + "n_words")).select(*docs.columns, own + "hit_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlab.llm import decontaminate as dc
 
@@ -63,3 +65,38 @@ def test_cut_keeps_everything_else():
     text = "Aé, b! C–d  e"
     assert dc.cut(text, [1]) == "Aé, ! C–d  e"
     assert dc.cut("one two three four", [1, 2]) == "one  four"
+
+
+def test_long_items_come_in_pieces_one_index_at_a_time(spark, documents, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}é" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(5_000)]
+    items = [("long", " ".join(passage)), ("long", " ".join(passage)), ("short", "Only three words"), (None, " ".join(passage[40:70])), ("none", None)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = documents([(i, " ".join(passage[at : at + n])) for i, (at, n) in enumerate([(0, 12), (4_990, 10), (4_991, 9), (44, 30), (3_000, 500)])] + [(9, "x only THREE words y"), (10, None)])
+    whole = dc.report(docs, benchmark).collect()
+    live, most = set(), []
+    plain = dc.build
+
+    def counted(items, size):
+        index = plain(items, size)
+        live.add(id(index))
+        most.append(sum(len(t or "") for _, t in items))
+        return index
+
+    monkeypatch.setattr(dc, "build", counted)
+    cut = dc.scan(docs.select("doc_id", "text"), benchmark, block_bytes=4_000).collect()
+    assert len(most) > 10 and max(most) < 12_000
+    assert {r.doc_id: (r.n_words, len(r.hit_words), len(r.items)) for r in cut} == {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in whole}
+    assert {r.doc_id: r.n_hit for r in whole} == {0: 12, 1: 10, 2: 0, 3: 30, 4: 500, 9: 3, 10: 0}
+
+
+def test_clashing_names(spark, documents):
+    benchmark = spark.createDataFrame([("a", "one two three"), ("b", "four five six " * 40)], "item_id string, text string")
+    docs = documents([(1, "zero one two three four and more words to keep it")])
+    for name in ("_scan_text", "_scan_items", "_row", "hit_words"):
+        docs = docs.withColumn(name, F.lit(7))
+    (got,) = dc.remove(docs, benchmark).collect()
+    assert got._scan_text == got._scan_items == got._row == got.hit_words == 7 and "two" not in got.text
+    (got,) = dc.scan(docs, benchmark, block_bytes=100).collect()
+    assert got._row == 7 and got["items"] == ["a"]
