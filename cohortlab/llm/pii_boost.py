@@ -45,7 +45,7 @@ SECRET = (
     r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x20\"']{0,3}[=:][\x20\"']{0,3}[^\s\"',;]{4,}+"
 )
 TOKEN = r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+"
-NUMBER = r"(?<![0-9])[0-9][0-9\x20().-]{6,40}[0-9]"
+NUMBER = r"(?<![0-9])[0-9][0-9\x20().-]{6,}[0-9]"
 DISGUISED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9.-]++"
 MORE = (("secret", SECRET), ("token", TOKEN), ("number", NUMBER), ("disguised", DISGUISED))
 KEYWORDS = r"(?i)(?:password|passwd|pwd|secret|token|key|auth|phone|tel|call|mail|card|account|iban|ssn)"
@@ -265,12 +265,13 @@ def margin(model: Model, x: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", docs_wanted: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on the proposals of a bounded sample of documents, chosen by a hash of the key."""
+    """Fit on the ``rows`` proposals with the least hashes in a bounded sample of documents, itself chosen by a hash of the key: the same at every layout."""
     n = docs.count()
     rank = F.pmod(F.xxhash64(F.lit("pii"), F.col(key)), F.lit(1_000_000))
     sample = docs.filter(rank < max(1, round(1_000_000 * min(1.0, docs_wanted / max(1, n))))).filter(F.col(text).isNotNull())
-    found = sample.select(F.explode(proposals(F.col(text))).alias("s")).select(features(F.col("s")).alias("x"), weak_label(F.col("s")).alias("y"))
-    data = sorted(found.limit(rows).collect(), key=lambda r: (r["x"], r["y"]))
+    found = sample.select(F.col(key).alias("k"), F.explode(proposals(F.col(text))).alias("s"))
+    found = found.select(F.xxhash64("k", "s.kind", "s.start", "s.value").alias("h"), features(F.col("s")).alias("x"), weak_label(F.col("s")).alias("y"))
+    data = sorted(found.orderBy("h", "x", "y").limit(rows).drop("h").collect(), key=lambda r: (r["x"], r["y"]))
     order = np.random.default_rng(3).permutation(len(data))
     x = np.array([data[i]["x"] for i in order]).reshape(len(data), len(FEATURES))
     return train(x, np.array([float(data[i]["y"] or 0) for i in order]))

@@ -29,3 +29,17 @@ def test_long_disguised_address(documents):
     text = "x" * 100 + " (at) host.example"
     got = documents([(1, text)]).select(F.filter(pb.proposals(F.col("text")), lambda s: s["kind"] == "disguised").alias("s")).first().s
     assert [(s.start, s.end) for s in got] == [(0, len(text))]
+
+
+def test_long_group_of_digits_is_one_proposal(documents):
+    text = "id 1" + "234 5678 9" * 8 + "0 end"
+    got = documents([(1, text)]).select(F.filter(pb.proposals(F.col("text")), lambda s: s["kind"] == "number").alias("s")).first().s
+    assert [text[s.start : s.end] for s in got] == [text[3:-4]]
+    text = "1" + " " * 50_000 + "x" + "7-" * 50_000
+    got = documents([(1, text)]).select(F.filter(pb.proposals(F.col("text")), lambda s: s["kind"] == "number").alias("s")).first().s
+    assert [(s.start, s.end) for s in got] == [(50_002, len(text) - 1)]
+
+
+def test_model_does_not_depend_on_the_layout(documents):
+    docs = documents([(i, f"call +44 20 7946 {i:04d} or card 4111 1111 1111 {1000 + i}, token={i * 7919:020d}a") for i in range(120)])
+    assert pb.fit(docs.repartition(7), rows=100) == pb.fit(docs.coalesce(1), rows=100)
